@@ -17,6 +17,12 @@ WEEKDAYS = ["MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN"]
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 
 
+
+def positioned(panel: DataFrame) -> DataFrame:
+    """Rows with ``pos`` and ``n``; rows that have them already are not numbered again."""
+    return panel if {"pos", "n"} <= set(panel.columns) else with_position(panel, KEY, "date")
+
+
 # ---------------------------------------------------------------- moments
 
 def data_summary(panel: DataFrame) -> DataFrame:
@@ -51,7 +57,7 @@ def dataset_signature(panel: DataFrame) -> DataFrame:
 
 def base_stats(panel: DataFrame) -> DataFrame:
     """Moments, volatility, difference noise and linear trend; zeros for series under five rows."""
-    rows = with_position(panel, KEY, "date", n=None)
+    rows = positioned(panel)
     rows = framed(rows, KEY, {"_d": lambda w: F.col("target") - F.lag("target").over(w)}, back=1)
     t = F.col("pos").cast("double")
     s = rows.groupBy(KEY).agg(
@@ -79,8 +85,8 @@ def base_stats(panel: DataFrame) -> DataFrame:
 
 def detrended(panel: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Rows with ``pos`` and ``residual``: the linear trend removed where the series varies at all."""
-    stats = base_stats(panel) if stats is None else stats
-    rows = with_position(panel, KEY, "date")
+    rows = positioned(panel)
+    stats = base_stats(rows) if stats is None else stats
     rows = attach(rows, stats.select(KEY, "std", "slope", "intercept"), KEY, "pos")
     level = F.col("slope") * F.col("pos") + F.col("intercept")
     flat = (F.col("n") < 3) | (F.col("std") <= 1e-12)
@@ -106,22 +112,25 @@ def autocorrelation(rows: DataFrame, lags: Sequence[int], value: str = "residual
     cols |= {f"_l{k}": (lambda w, k=k: F.lag(value, k).over(w)) for k in far}
     slim = rows.filter(F.col(value).isNotNull()).select(KEY, "pos", "n", value)
     wide = framed(slim, KEY, cols, back=max(lags))
-    pairs = wide.select(KEY, "n", F.col(value).alias("_y"), F.posexplode("_near").alias("_i", "_x"))
-    pairs = pairs.select(KEY, "n", (F.col("_i") + 1).alias("lag"), "_y", "_x").filter(F.col("lag").isin(near))
+    # lag 0 pairs a row with itself, which gives the spread of the whole series in the same pass
+    wide = wide.withColumn("_near", F.concat(F.array(F.col(value)), "_near"))
+    pairs = wide.select(KEY, "n", F.col(value).alias("_y"), F.posexplode("_near").alias("lag", "_x"))
+    pairs = pairs.filter(F.col("lag").isin([0, *near]))
     if far:
         long_pairs = wide.select(
             KEY, "n", F.col(value).alias("_y"),
             F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_l{k}").alias("x")) for k in far])).alias("p"),
         )
-        long_pairs = long_pairs.filter(F.col("p.x").isNotNull()).select(KEY, "n", "p.lag", "_y", F.col("p.x").alias("_x"))
+        long_pairs = long_pairs.filter(F.col("p.x").isNotNull()).select(KEY, "n", "_y", "p.lag", F.col("p.x").alias("_x"))
         pairs = pairs.unionByName(long_pairs)
     sums = pairs.groupBy(KEY, "n", "lag").agg(
         F.stddev_pop("_y").alias("_sy"), F.stddev_pop("_x").alias("_sx"), F.corr("_y", "_x").alias("_r")
     )
-    whole = slim.groupBy(KEY).agg(F.stddev_pop(value).alias("_all"))
+    # one row per lag, so this window never sees more rows than there are lags
+    whole = F.max(F.when(F.col("lag") == 0, F.col("_sy"))).over(Window.partitionBy(KEY))
     flat = F.least("_sx", "_sy") < 1e-12
     acf = F.when(F.col("_all") >= 1e-12, F.when(flat, 0.0).otherwise(F.col("_r")))
-    return sums.join(whole, KEY).select(KEY, "n", "lag", acf.alias("acf"))
+    return sums.withColumn("_all", whole).filter(F.col("lag") > 0).select(KEY, "n", "lag", acf.alias("acf"))
 
 
 # ---------------------------------------------------------------- frequency

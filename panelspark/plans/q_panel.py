@@ -22,7 +22,7 @@ def rounded(df, names, digits=6):
 
 
 def train_of(panel):
-    return J.chronological(panel, SPEC).filter("split = 'train'")
+    return J.chronological(panel, SPEC).filter("split = 'train'").withColumn("n", F.col("n_train"))
 
 
 TRAIN = "train AS (SELECT * FROM parts WHERE split = 'train' AND n_train >= 30 AND n_val >= 3 AND n_test >= 3)"
@@ -178,7 +178,7 @@ acfs AS (SELECT series_id, n, lag, CASE WHEN lag < n AND sall >= 1e-12 THEN CASE
 
 
 def _train_acf(panel, lags):
-    train = train_of(panel).select("series_id", "date", "target")
+    train = train_of(panel).select("series_id", "date", "target", "pos", "n")
     return D.autocorrelation(D.detrended(train), lags)
 
 
@@ -407,7 +407,7 @@ def _rolling_sql():
     out = [f"round(lag(target, {k}) OVER s, 8) AS lag_{k}" for k in LAGS]
     for w in WINDOWS:
         for f, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")):
-            out.append(f"round(CASE WHEN pos >= {w} THEN {fn}(target) OVER (s ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) END, 8) AS rolling_{f}_{w}")
+            out.append(f"round(CASE WHEN pos >= {w} THEN {fn}(target) OVER (s ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) END, {5 if f == 'std' else 8}) AS rolling_{f}_{w}")
     return ", ".join(out)
 
 
@@ -418,7 +418,8 @@ def _rolling_sql():
 )
 def lag_rolling_features(spark, sf):
     rows = E.add_past_features(with_position(daily(spark, sf), "series_id", "date", n=None), LAGS, WINDOWS, E.ROLLING)
-    return rounded(E.complete(rows, FEATURES).drop("target"), FEATURES, 8)
+    out = E.complete(rows, FEATURES).drop("target")
+    return rounded(rounded(out, [c for c in FEATURES if "std" not in c], 8), [c for c in FEATURES if "std" in c], 5)
 
 
 @query(
