@@ -16,8 +16,8 @@ from .ordered import attach
 ACCURACY = 20000
 
 
-def exact_median(df: DataFrame, key: str, value: Column, name: str = "median") -> DataFrame:
-    """One row per key: the exact median of the non-null values."""
+def exact_median(df: DataFrame, key: str, value: Column, name: str = "median", *, upper: bool = False) -> DataFrame:
+    """One row per key: the exact median of the non-null values (``upper``: the upper middle value)."""
     rows = df.select(key, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     slack = 4.0 / ACCURACY
     sketch = rows.groupBy(key).agg(
@@ -44,6 +44,7 @@ def exact_median(df: DataFrame, key: str, value: Column, name: str = "median") -
     upto = F.sum("_c").over(Window.partitionBy(key).orderBy("_side", "_v"))
     ranked = counted.withColumn("_last", upto - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
     at = lambda r: F.max(F.when(F.col(r).between(F.col("_first"), F.col("_last")), F.col("_v")))
-    middle = ranked.groupBy(key).agg(((at("_r1") + at("_r2")) / 2.0).alias(name))
+    found = at("_r2") if upper else (at("_r1") + at("_r2")) / 2.0
+    middle = ranked.groupBy(key).agg(found.alias(name))
     missed = F.raise_error(F.lit("median rank outside its bracket"))
     return middle.withColumn(name, F.when(F.col(name).isNull(), missed.cast("double")).otherwise(F.col(name)))
