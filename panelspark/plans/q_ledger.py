@@ -205,12 +205,12 @@ def available_models(spark, sf):
     return L.available_models(rows, disabled, exhausted)
 
 
-GRIDS = {"KNN": {"n_neighbors": ["3", "5", "10"], "weights": ["uniform", "distance"]}, "ETS": {"seasonal_periods": ["4", "7", "12"], "trend": ["add", "mul"]}, "Chronos": {"model_size": ["tiny", "mini", "small"]}}
+GRIDS = {"KNN": {"n_neighbors": ["3", "5", "10"], "weights": ["uniform", "distance"]}, "ETS": {"seasonal_periods": ["4", "14", "12"], "trend": ["add", "mul"]}, "Chronos": {"model_size": ["tiny", "mini", "small"]}}
 
 
 @query(
     "grid_exhaustion",
-    with_sql(TRIALS, """a AS (SELECT run_id, model, CASE model WHEN 'KNN' THEN [['3', '5', '10', '7'][step % 4 + 1], ['uniform', 'distance'][l_linenumber % 2 + 1]] WHEN 'ETS' THEN [['4', '7', '12', '9'][step % 4 + 1], ['add', 'mul'][l_linenumber % 2 + 1]]
+    with_sql(TRIALS, """a AS (SELECT run_id, model, CASE model WHEN 'KNN' THEN [['3', '5', '10', '7'][step % 4 + 1], ['uniform', 'distance'][l_linenumber % 2 + 1]] WHEN 'ETS' THEN [['4', '14', '12', '9'][step % 4 + 1], ['add', 'mul'][l_linenumber % 2 + 1]]
         WHEN 'Chronos' THEN [['tiny', 'mini', 'small', 'base'][step % 4 + 1]] END AS v FROM trials WHERE model IN ('KNN', 'ETS', 'Chronos'))""",
              tail="""SELECT run_id, model, CASE model WHEN 'Chronos' THEN 3 ELSE 6 END::BIGINT AS total, count(DISTINCT v) FILTER (v[1] NOT IN ('7', '9', 'base')) AS attempted,
         CASE model WHEN 'Chronos' THEN 3 ELSE 6 END - count(DISTINCT v) FILTER (v[1] NOT IN ('7', '9', 'base')) AS remaining, count(DISTINCT v) FILTER (v[1] NOT IN ('7', '9', 'base')) >= CASE model WHEN 'Chronos' THEN 3 ELSE 6 END AS exhausted FROM a GROUP BY 1, 2"""),
@@ -223,7 +223,7 @@ def grid_exhaustion(spark, sf):
     line = F.element_at("lags", 2)
     hp = (
         F.when(F.col("model") == "KNN", F.create_map(F.lit("n_neighbors"), pick(["3", "5", "10", "7"], F.col("step")), F.lit("weights"), pick(["uniform", "distance"], line)))
-        .when(F.col("model") == "ETS", F.create_map(F.lit("seasonal_periods"), pick(["4", "7", "12", "9"], F.col("step")), F.lit("trend"), pick(["add", "mul"], line)))
+        .when(F.col("model") == "ETS", F.create_map(F.lit("seasonal_periods"), pick(["4", "14", "12", "9"], F.col("step")), F.lit("trend"), pick(["add", "mul"], line)))
         .otherwise(F.create_map(F.lit("model_size"), pick(["tiny", "mini", "small", "base"], F.col("step"))))
     )
     return L.grid_exhaustion(rows.select(RUN, "model", hp.alias("hyperparameters")), GRIDS)
