@@ -431,7 +431,7 @@ def outlier_summary(train: DataFrame) -> DataFrame:
         "scanned",
         "candidates",
         "replaced_count",
-        (F.col("replaced_count") / F.col("scanned")).alias("outlier_fraction"),
+        F.coalesce(F.try_divide("replaced_count", "scanned"), F.lit(0.0)).alias("outlier_fraction"),
         F.coalesce("_strength", F.lit(0.0)).alias("outlier_strength"),
         F.when(F.col("replaced_count") > 0, F.round(impact, 6)).otherwise(0.0).alias("variance_impact"),
         "last_index",

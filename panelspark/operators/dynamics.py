@@ -32,10 +32,10 @@ def information_gain(gains: DataFrame, keys: list[str], threshold: float = T) ->
     steps = F.zip_with(F.slice(F.col("_v"), F.lit(1), F.col("k") - 1), F.slice(F.col("_v"), 2, 4), lambda a, b: F.abs(b - a) / (F.abs(a) + 1e-12))
     s = s.withColumn("_v", values).withColumn("k", F.col("k").cast("int"))
     mean = total(F.col("_v")) / F.col("k")
-    s = s.withColumn("_change", total(steps) / (F.col("k") - 1)).withColumn("_mean", mean)
+    s = s.withColumn("_change", F.when(F.col("k") > 1, total(steps) / (F.col("k") - 1))).withColumn("_mean", mean)
     spread = F.sqrt(total(F.transform("_v", lambda v: (v - F.col("_mean")) * (v - F.col("_mean")))) / F.col("k")) / (F.abs("_mean") + 1e-12)
     # gains inside the four trials only: each over the best of those before it
-    after = F.transform(F.sequence(F.lit(2), F.col("k")), lambda i: relative_gain(F.array_min(F.slice(F.col("_v"), F.lit(1), i - 1)), F.element_at(F.col("_v"), i)))
+    after = F.transform(F.when(F.col("k") > 1, F.sequence(F.lit(2), F.col("k"))), lambda i: relative_gain(F.array_min(F.slice(F.col("_v"), F.lit(1), i - 1)), F.element_at(F.col("_v"), i)))
     s = s.withColumn("_spread", spread).withColumn("_best", F.array_max(after))
     diversity = F.size(F.array_distinct(F.transform("_t", lambda t: t["signature"]))) / F.col("k")
     change = smoothstep(F.col("_change"), threshold * 0.25, 0.05)

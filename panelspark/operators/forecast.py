@@ -49,11 +49,14 @@ def normal_equations(parts: DataFrame, features: Sequence[Column], target: Colum
     rows = rows.dropna(subset=names)
     products = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = rows.groupBy(KEY, "_c", "_first").agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_g{k}") for k, (i, j) in enumerate(products)])
-    # stretches before an origin are those numbered up to the origin's own number minus one
-    cols = {"n": ("sum", F.col("_n"), True)} | {f"_s{k}": ("sum", F.col(f"_g{k}"), True) for k in range(len(products))}
-    totals = running(sums, KEY, cols, pos="_c")
+    # stretches before an origin are those numbered up to the origin's own number minus one; the sums
+    # are added up along the origins in long form, one short sequence per product
+    entries = F.array(F.col("_n"), *[F.col(f"_g{k}") for k in range(len(products))])
+    long = sums.select(KEY, "_c", "_first", F.posexplode(entries).alias("_k", "_v"))
+    totals = running(long, [KEY, "_k"], {"_s": ("sum", F.col("_v"), True)}, pos="_c")
+    listed = totals.groupBy(KEY, "_c", "_first").agg(F.sort_array(F.collect_list(F.struct("_k", "_s"))).alias("_l"))
     origin = (F.col("_first") + F.col("_c") * spec.horizon).cast("bigint")
-    return totals.select(KEY, origin.alias("origin"), "n", F.array(*[F.col(f"_s{k}") for k in range(len(products))]).alias("g"))
+    return listed.select(KEY, origin.alias("origin"), F.get("_l._s", F.lit(0)).alias("n"), F.slice("_l._s", 2, len(products)).alias("g"))
 
 
 def _unpack(g: np.ndarray, size: int) -> np.ndarray:
@@ -187,9 +190,9 @@ SEASONS = {
 }
 
 
-def additive_regression(parts: DataFrame, spec: SplitSpec, model: Additive, partition: str = "validation") -> DataFrame:
+def additive_regression(parts: DataFrame, spec: SplitSpec, shape: Additive, partition: str = "validation") -> DataFrame:
     """Trend plus seasons by normal equations, refitted at every origin; no prior on the trend changes."""
-    features = model.features()
+    features = shape.features()
     sums = normal_equations(parts, features, F.col("target"), spec, partition)
     size = len(features) + 1
 

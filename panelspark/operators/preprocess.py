@@ -113,27 +113,27 @@ def boxcox_shift(train: DataFrame) -> DataFrame:
 
 
 def boxcox_grid(train: DataFrame, powers: Sequence[float]) -> DataFrame:
-    """(series, shift, lambda, likelihood) over a fixed grid of powers."""
+    """(series, shift, power, likelihood) over a fixed grid of powers."""
     rows = attach(train, boxcox_shift(train), KEY, "pos")
     tags = [f"l{i}" for i in range(len(powers))]
     wide = _likelihoods(rows, [F.lit(float(p)) for p in powers], tags)
-    entries = F.array(*[F.struct(F.lit(float(p)).alias("lambda"), F.col(t).alias("likelihood")) for p, t in zip(powers, tags)])
+    entries = F.array(*[F.struct(F.lit(float(p)).alias("power"), F.col(t).alias("likelihood")) for p, t in zip(powers, tags)])
     return wide.select(KEY, "shift", F.explode(entries).alias("e")).select(KEY, "shift", "e.*")
 
 
 def fit_boxcox(train: DataFrame, rounds: int = 3) -> DataFrame:
-    """(series, shift, lambda): the most likely power in [-2, 2], narrowed tenfold per round."""
+    """(series, shift, power): the most likely power in [-2, 2], narrowed tenfold per round."""
     step = 0.1
     grid = boxcox_grid(train, [round(-2 + step * i, 10) for i in range(41)])
-    best = lambda df: df.groupBy(KEY, "shift").agg(F.max_by("lambda", F.struct(F.round("likelihood", 9), -F.abs("lambda"))).alias("lambda"))
+    best = lambda df: df.groupBy(KEY, "shift").agg(F.max_by("power", F.struct(F.round("likelihood", 9), -F.abs("power"))).alias("power"))
     fitted = cut(best(grid))
     for _ in range(rounds):
         step /= 10.0
         rows = attach(train, fitted, KEY, "pos")
         offsets = [i * step for i in range(-10, 11)]
         tags = [f"l{i}" for i in range(len(offsets))]
-        wide = _likelihoods(rows.withColumn("lambda", F.col("lambda")), [F.col("lambda") + o for o in offsets], tags).join(fitted.select(KEY, "lambda"), KEY)
-        entries = F.array(*[F.struct((F.col("lambda") + o).alias("lambda"), F.col(t).alias("likelihood")) for o, t in zip(offsets, tags)])
+        wide = _likelihoods(rows, [F.col("power") + o for o in offsets], tags).join(fitted.select(KEY, "power"), KEY)
+        entries = F.array(*[F.struct((F.col("power") + o).alias("power"), F.col(t).alias("likelihood")) for o, t in zip(offsets, tags)])
         fitted = cut(best(wide.select(KEY, "shift", F.explode(entries).alias("e")).select(KEY, "shift", "e.*")))
     return fitted
 
@@ -179,7 +179,7 @@ def fit(train: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, list[Fitted
 
 def _boxcox(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     out = attach(rows, numbers, KEY, "pos")
-    return out.withColumn("target", boxcox_forward(F.col("target"), F.col("lambda"), F.col("shift"))).drop("lambda", "shift")
+    return out.withColumn("target", boxcox_forward(F.col("target"), F.col("power"), F.col("shift"))).drop("power", "shift")
 
 
 def _replace(rows: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def invert(predictions: DataFrame, log: Sequence[Fitted], column: str = "yhat")
         elif f.step.name == "log_transform":
             rows = rows.withColumn(column, F.expm1(y) if f.step.method == "log1p" else F.exp(y))
         elif f.step.name == "boxcox_transform":
-            rows = attach(rows, f.numbers, KEY, "pos").withColumn(column, boxcox_inverse(y, F.col("lambda"), F.col("shift"))).drop("lambda", "shift")
+            rows = attach(rows, f.numbers, KEY, "pos").withColumn(column, boxcox_inverse(y, F.col("power"), F.col("shift"))).drop("power", "shift")
     return rows
 
 

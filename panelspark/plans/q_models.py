@@ -205,11 +205,11 @@ def log_round_trip(spark, sf):
 
 POWERS = [-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]
 _LLF = " UNION ALL ".join(
-    f"SELECT series_id, {p}::DOUBLE AS lambda, ({p}::DOUBLE - 1) * sum(ln(target)) - count(*) / 2e0 * ln(var_pop({'ln(target)' if p == 0 else f'(pow(target, {p}::DOUBLE) - 1) / {p}::DOUBLE'})) AS ll FROM train GROUP BY 1" for p in POWERS
+    f"SELECT series_id, {p}::DOUBLE AS power, ({p}::DOUBLE - 1) * sum(ln(target)) - count(*) / 2e0 * ln(var_pop({'ln(target)' if p == 0 else f'(pow(target, {p}::DOUBLE) - 1) / {p}::DOUBLE'})) AS ll FROM train GROUP BY 1" for p in POWERS
 )
 
 
-@query("boxcox_likelihood", with_sql(MONTHLY, POS, SPLIT, TRAIN, f"g AS ({_LLF})", tail="SELECT series_id, 0::DOUBLE AS shift, lambda, round(ll, 5) AS likelihood FROM g"))
+@query("boxcox_likelihood", with_sql(MONTHLY, POS, SPLIT, TRAIN, f"g AS ({_LLF})", tail="SELECT series_id, 0::DOUBLE AS shift, power, round(ll, 5) AS likelihood FROM g"))
 def boxcox_likelihood(spark, sf):
     return rounded(P.boxcox_grid(train_of(monthly(spark, sf)), POWERS), ["likelihood"], 5)
 
@@ -222,14 +222,14 @@ def boxcox_round_trip(spark, sf):
     moved = P.replay(train, new, log).withColumn("yhat", F.col("target"))
     back = P.invert(moved, log).join(new.select(KEY, "pos", F.col("target").alias("raw")), [KEY, "pos"])
     gap = back.groupBy(KEY).agg(F.max(F.abs(F.col("yhat") - F.col("raw")) / F.abs("raw")).alias("relative_gap"))
-    return rounded(gap.join(log[0].numbers, KEY), ["relative_gap", "lambda"])
+    return rounded(gap.join(log[0].numbers, KEY), ["relative_gap", "power"])
 
 
 _ROLL = "CASE WHEN pos >= 3 THEN avg(z) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END"
 _FEATS = ["lag_1", "lag_7", "rolling_mean_3", "month_sin"]
 CHAIN = f"""lg AS (SELECT *, ln(1 + target) AS z FROM ok WHERE split <> 'test'),
 ft AS (SELECT *, lag(z, 1) OVER w AS lag_1, lag(z, 7) OVER w AS lag_7, {_ROLL} AS rolling_mean_3, sin(2 * pi() * month(date) / 12) AS month_sin FROM lg WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
-fs AS (SELECT series_id, {", ".join(f"avg({c}) AS m_{c}, {CONSTANT.format(f'stddev_pop({c})')} AS s_{c}" for c in _FEATS)} FROM ft WHERE split = 'train' AND pos >= 7 GROUP BY 1)"""
+fs AS (SELECT series_id, {", ".join(f"avg({c}) AS m_{c}, {CONSTANT.format(f'stddev_pop({c})')} AS s_{c}" for c in _FEATS)} FROM ft WHERE split = 'train' AND pos >= 10 GROUP BY 1)"""
 
 
 @query(
@@ -325,7 +325,7 @@ MODELS = {
     "ar_seasonal": ("ar_ols", {"p": 2, "d": 1, "seasonal_p": 1, "m": 12}),
     "smoothing_additive": ("exponential_smoothing", {"m": 12}),
     "smoothing_multiplicative": ("exponential_smoothing", {"trend": "mul", "seasonal": "mul", "m": 12}),
-    "additive_regression": ("additive_regression", {"model": L.Additive(seasons=L.SEASONS["monthly"])}),
+    "additive_regression": ("additive_regression", {"shape": L.Additive(seasons=L.SEASONS["monthly"])}),
     "elastic_net": ("elastic_net", {"alpha": 0.05}),
     "calendar_elastic_net": ("calendar_elastic_net", {}),
     "knn": ("knn_forecast", {"lags": (3, 12), "weights": "distance"}),
