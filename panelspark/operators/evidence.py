@@ -219,7 +219,7 @@ def domain_edges(items: DataFrame) -> DataFrame:
     reps = items.select(KEY, F.col("ord").alias("item"), "rep", "copies")
     rw = ngram_weights(reps, KEY, "item", "rep", lo=lo, hi=hi, copies="copies")
     vec = rw.groupBy(KEY, "item").agg(F.sort_array(F.collect_list(F.struct("gid", "w"))).alias("_v"))
-    vec = cut(vec.select(KEY, "item", F.col("_v.gid").alias("g"), F.col("_v.w").alias("w")))
+    vec = cut(vec.select(KEY, "item", F.col("_v.gid").alias("_gids"), F.col("_v.w").alias("_ws")))
     slim = pairs.select(KEY, F.col("oa").alias("a"), F.col("ob").alias("b"), "label_sim", "overlap", "same_parent")
     both = cosines(slim, vec, KEY, "item").withColumnRenamed("cosine", "context_sim")
     mixed = LABEL_WEIGHT * F.col("label_sim") + CONTEXT_WEIGHT * F.col("context_sim")

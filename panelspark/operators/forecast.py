@@ -402,7 +402,7 @@ def exponential_smoothing(
     later = mapped.join(start, KEY).groupBy(KEY, "p").applyInPandas(chain, f"{KEY} {kind}, blk bigint, p int, state array<double>")
     later = later.groupBy(KEY, "blk").agg(F.sort_array(F.collect_list(F.struct("p", "state"))).alias("_s")).select(KEY, "blk", F.col("_s.state").alias("states"))
     begin = start.select(KEY, F.lit(0).cast("bigint").alias("blk"), F.array_repeat("state", len(grid)).alias("states"))
-    starts = begin.unionByName(later)
+    starts = begin.unionByName(later).select(F.col(KEY).alias("_k"), F.col("blk").alias("_b"), "states")
 
     horizon, n_grid = spec.horizon, len(grid)
 
@@ -421,7 +421,7 @@ def exponential_smoothing(
         return pd.DataFrame(out, columns=columns)
 
     schema = f"{KEY} {kind}, origin bigint, blk bigint, p int, sse double, total double, state array<double>"
-    ran = cut(rows.groupBy(KEY, "blk").cogroup(starts.groupBy(KEY, "blk")).applyInPandas(run, schema))
+    ran = cut(rows.groupBy(KEY, "blk").cogroup(starts.groupBy("_k", "_b")).applyInPandas(run, schema))
     earlier = running(ran.filter("origin < 0").select(KEY, "p", "blk", "total"), [KEY, "p"], {"_before": ("sum", F.col("total"), False)}, pos="blk")
     scored = ran.filter("origin >= 0").drop("total").join(earlier.select(KEY, "p", "blk", "_before"), [KEY, "p", "blk"])
     scored = scored.withColumn("sse", F.col("sse") + F.coalesce("_before", F.lit(0.0)))
@@ -503,7 +503,8 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 5, p: int = 2, key: s
         qs = qs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces", "q_pieces")
         ts = t.join(spread.select(key, "cell", "q_pieces"), [key, "cell"]).withColumn("q_piece", F.explode(F.sequence(F.lit(0), F.col("q_pieces") - 1))).drop("q_pieces")
         by = [key, "cell", "piece", "q_piece"]
-        found = qs.groupBy(*by).cogroup(ts.groupBy(*by)).applyInPandas(search, f"{key} {kind}, query_id {qkind}, id {ikind}, distance double, value double")
+        ts = ts.withColumnsRenamed({c: f"_t_{c}" for c in by})
+        found = qs.groupBy(*by).cogroup(ts.groupBy(*[f"_t_{c}" for c in by])).applyInPandas(search, f"{key} {kind}, query_id {qkind}, id {ikind}, distance double, value double")
         top = Window.partitionBy(key, "query_id").orderBy("distance", "id")
         return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
 
