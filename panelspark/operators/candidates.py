@@ -152,16 +152,14 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PARSED, schema)
 
 
-def defaults(model: Column) -> Column:
-    """Default hyper-parameters of a model as a map."""
-    by_model: dict[str, list] = {}
+def defaults_table(spark: SparkSession) -> DataFrame:
+    """Default hyper-parameters of each model as a map: one row per model."""
+    by_model: dict[str, dict[str, str]] = {}
     for m, name, *_, value in PARSED:
-        by_model.setdefault(m, []).extend([F.lit(name), F.lit(value)])
-    out = None
-    for m, pairs in by_model.items():
-        one = F.create_map(*pairs)
-        out = F.when(model == m, one) if out is None else out.when(model == m, one)
-    return out
+        by_model.setdefault(m, {})[name] = value
+    names = [(m, list(d), list(d.values())) for m, d in by_model.items()]
+    table = spark.createDataFrame(names, "model string, names array<string>, vals array<string>")
+    return table.select("model", F.map_from_arrays("names", "vals").alias("hyperparameters"))
 
 
 def value_problem() -> Column:

@@ -33,7 +33,9 @@ def candidates(spark, sf):
     rows = li.select(
         F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("candidate_id"),
         model.alias("model"), F.col("l_linenumber").alias("_line"), (F.col("l_quantity").cast("int") % 6).alias("_twist"),
-    ).withColumn("_d", C.defaults(F.col("model")))
+    )
+    known = C.defaults_table(spark).select("model", F.col("hyperparameters").alias("_d"))
+    rows = rows.join(F.broadcast(known), "model")
     entries = F.map_entries("_d")
     at = (F.col("_line") % F.size("_d")).cast("int")
     value = F.when(F.col("_twist") == 1, "-5").when(F.col("_twist") == 2, "abc").when(F.col("_twist") == 5, "0")

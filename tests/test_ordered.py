@@ -22,8 +22,8 @@ def rows():
 
 
 def _frame(spark, pdf):
-    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k string, date timestamp, y double")
-    return df.repartition(7)
+    df = spark.createDataFrame(pdf)
+    return df.withColumn("y", F.when(~F.isnan("y"), F.col("y"))).repartition(7)
 
 
 def test_positions(spark, rows):
