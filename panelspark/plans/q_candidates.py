@@ -16,9 +16,9 @@ from ..operators.lineage import shared_folder
 from ..sources import results as W
 from ..sources import tables as R
 from .panels import DAILY, HOURLY, MONTHLY, POS, SPLIT, daily, hourly, monthly, table, with_sql
-from .q_documents import RAW, VALID, good_documents, raw_documents
+from .q_documents import RAW, VALID, good_documents
 from .q_ledger import MODELS, TRIALS, trials
-from .q_panel import FREQ, SPEC, TRAIN, rounded, train_of
+from .q_panel import FREQ, SPEC, rounded
 from .registry import query
 
 KEY = "series_id"

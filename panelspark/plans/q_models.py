@@ -11,6 +11,7 @@ from ..operators import forecast as L
 from ..operators import metrics as V
 from ..operators import preprocess as P
 from ..operators import split as J
+from ..operators.lineage import cut
 from .panels import DAILY, MONTHLY, POS, SPLIT, WEEKLY, daily, monthly, table, weekly, with_sql
 from .q_panel import SPEC, TRAIN, rounded, season_and_lag, train_of
 from .registry import query
@@ -381,7 +382,7 @@ _TEST = " UNION ALL ".join(
 )
 def final_evaluation(spark, sf):
     """Choose each series' model on validation, freeze it, then score the holdout once with it."""
-    parts = _parts(monthly(spark, sf))
+    parts = cut(_parts(monthly(spark, sf)))
     train = parts.filter("split = 'train'")
     scale = V.mase_scale(train, 12)
     scored = None

@@ -35,7 +35,7 @@ def test_strict_frequencies(spark):
 
 def test_short_and_constant_series(spark):
     dates = pd.date_range("2020-01-01", periods=40, freq="D")
-    series = {"four": (dates[:4], [1, 2, 3, 4]), "flat": (dates, [7] * 40), "one": (dates[:1], [3])}
+    series = {"four": (dates[:4], [1, 2, 3, 4]), "flat": (dates, [7] * 40), "brief": (dates[:36], range(36)), "one": (dates[:1], [3])}
     panel = _panel(spark, series)
     stats = {r.series_id: r for r in D.base_stats(panel).collect()}
     assert stats["four"].std == 0.0 and stats["four"].trend_strength == 0.0
@@ -45,7 +45,7 @@ def test_short_and_constant_series(spark):
     scale = {r.series_id: r.scale for r in V.mase_scale(parts.filter("split = 'train'"), 1).collect()}
     assert scale["flat"] is None
     reasons = {r.series_id: r.rejected for r in J.size_table(panel, SPEC).collect()}
-    assert reasons == {"four": "no_complete_window", "flat": "training_too_short", "one": "fewer_than_three_observations"}
+    assert reasons == {"four": "no_complete_window", "flat": None, "brief": "training_too_short", "one": "fewer_than_three_observations"}
 
 
 def test_two_largest_spikes_are_replaced(spark):
