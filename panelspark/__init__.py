@@ -1 +1,9 @@
 """Panel forecasting and evidence analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# the few functions that run inside Python workers travel with their tasks, so that executors need
+# no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
