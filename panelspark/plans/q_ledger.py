@@ -28,6 +28,7 @@ def trials(spark, sf):
     flag, line = F.col("l_returnflag"), F.col("l_linenumber")
     return rows.select(
         RUN,
+        F.col("l_orderkey").alias("order_id"),
         (F.col("pos") + 1).alias("step"),
         F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("l_partkey") % 24 + 1).cast("int")).alias("model"),
         F.when(value > 1, mase).alias("mase"),
@@ -44,7 +45,7 @@ def trials(spark, sf):
     )
 
 
-TRIALS = f"""trials AS (SELECT l_suppkey AS run_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS step,
+TRIALS = f"""trials AS (SELECT l_suppkey AS run_id, l_orderkey AS order_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS step,
   {MODELS}[l_partkey % 24 + 1] AS model, CASE WHEN l_quantity > 1 THEN (50 + 5 * CAST(round(l_discount * 100) AS BIGINT) + CAST(round(l_tax * 100) AS BIGINT) + l_partkey % 7) / 100e0 END AS mase,
   l_returnflag = 'A' AS uses_log, CAST(l_quantity AS BIGINT)::VARCHAR AS hyperparameters, {MODELS}[l_partkey % 24 + 1] || '|' || CAST(l_quantity AS BIGINT) || '|' || l_returnflag AS signature,
   CASE WHEN l_quantity = 1 THEN 'execution_failure' WHEN l_quantity = 50 THEN 'duplicate_candidate' WHEN l_quantity = 49 THEN 'invalid_configuration'
@@ -340,10 +341,18 @@ def refinement_responsiveness(spark, sf):
     return rounded(Y.responsiveness(L.with_gains(own), [RUN]), ["responsiveness"])
 
 
-def analytics(spark, sf):
+def by_order(rows):
+    """The same trials as many short runs: one run per order."""
+    return rows.withColumn("step", F.col(RUN) * 1000000 + F.col("step")).withColumn(RUN, F.col("order_id"))
+
+
+BY_ORDER = "few AS (SELECT * REPLACE (order_id AS run_id, run_id * 1000000 + step AS step) FROM ok)"
+
+
+def analytics(spark, sf, key="l_suppkey"):
     """Diagnostics of the series each run works on."""
     s = F.col(RUN)
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias(RUN)).distinct().select(
+    return table(spark, sf, "lineitem").select(F.col(key).alias(RUN)).distinct().select(
         RUN, (s % 2 == 0).alias("seasonality_detected"), ((s % 11) / F.lit(10.0)).alias("seasonality_acf"),
         F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (s % 3 + 1).cast("int")).alias("seasonality_confidence"),
         F.when(s % 5 > 0, (s % 13) / F.lit(12.0)).alias("max_abs_acf"), ((s % 17) / F.lit(4.0)).alias("trend_strength"),
@@ -375,12 +384,13 @@ def unresolved_signals(spark, sf):
 
 
 @query(
-    "unresolved_signals_of_first_trials",
-    with_sql(TRIALS, ANA.replace("FROM ok GROUP BY 1)", "FROM ok WHERE l_linenumber = 7 AND model IN ('KNN', 'ETS') GROUP BY 1)"), tail="SELECT run_id, string_agg(signal, ',' ORDER BY signal) FILTER (opened) AS unresolved_signals FROM op GROUP BY 1"),
+    "unresolved_signals_of_short_runs",
+    with_sql(TRIALS, BY_ORDER, ANA.replace("FROM ok GROUP BY 1)", "FROM few GROUP BY 1)").replace("DISTINCT l_suppkey AS run_id", "DISTINCT l_orderkey AS run_id"),
+             tail="SELECT run_id, string_agg(signal, ',' ORDER BY signal) FILTER (opened) AS unresolved_signals FROM op GROUP BY 1"),
 )
-def unresolved_signals_of_first_trials(spark, sf):
-    rows = L.valid(trials(spark, sf)).filter((F.element_at("lags", 2) == 7) & F.col("model").isin("KNN", "ETS"))
-    out = Y.unresolved_evidence(rows, analytics(spark, sf).join(rows.select(RUN).distinct(), RUN, "left_semi"))
+def unresolved_signals_of_short_runs(spark, sf):
+    rows = by_order(L.valid(trials(spark, sf)))
+    out = Y.unresolved_evidence(rows, analytics(spark, sf, "l_orderkey").join(rows.select(RUN).distinct(), RUN, "left_semi"))
     kept = out.filter((F.col("unresolved_signals") != "") | (F.col("resolved_signals") != ""))
     return kept.select(RUN, F.nullif("unresolved_signals", F.lit("")).alias("unresolved_signals"))
 
@@ -445,30 +455,28 @@ def search_exhaustion(spark, sf):
     return rounded(rows.select(RUN, Y.search_exhaustion({c: F.col(c) for c in EXIN}).alias("search_exhaustion")), ["search_exhaustion"])
 
 
-def _settings(spark, sf):
+def _settings(spark, sf, key="l_suppkey"):
     s = F.col(RUN)
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias(RUN)).distinct().select(RUN, (s % 2 == 0).alias("log_recommended"), (s % 3 > 0).alias("log_supported"))
+    return table(spark, sf, "lineitem").select(F.col(key).alias(RUN)).distinct().select(RUN, (s % 2 == 0).alias("log_recommended"), (s % 3 > 0).alias("log_supported"))
 
 
-# only a run's refinements of one model count here, so that runs are small enough to be blocked
-STOPS = """few AS (SELECT * FROM ok WHERE l_linenumber = 7 AND hyperparameters IN ('2', '3', '5', '8', '13', '21')),
-b AS (SELECT run_id, count(*) AS v, arg_min(model, (mase, step)) AS bm, bool_or(NOT uses_log) AS ar FROM few GROUP BY 1),
+# runs are orders here: short enough to be blocked for every reason
+STOPS = """b AS (SELECT run_id, count(*) AS v, arg_min(model, (mase, step)) AS bm, bool_or(NOT uses_log) AS ar FROM few GROUP BY 1),
 m AS (SELECT few.run_id, count(*) AS bt, count(DISTINCT hyperparameters) AS dh, bool_or(uses_log) AS le, bool_or(NOT uses_log) AS re FROM few JOIN b USING (run_id) WHERE model = bm GROUP BY 1),
-s AS (SELECT DISTINCT l_suppkey AS run_id, l_suppkey % 2 = 0 AND l_suppkey % 3 > 0 AS wl FROM lineitem),
+s AS (SELECT DISTINCT l_orderkey AS run_id, l_orderkey % 2 = 0 AND l_orderkey % 3 > 0 AS wl FROM lineitem),
 z AS (SELECT s.run_id, wl, coalesce(v, 0) AS v, bm, coalesce(bt, 0) AS bt, coalesce(dh, 0) AS dh, coalesce(le, false) AS le, coalesce(re, false) AS re, coalesce(ar, false) AS ar FROM s LEFT JOIN b USING (run_id) LEFT JOIN m USING (run_id)),
 y AS (SELECT *, v >= 30 AS hard, v >= 5 AS enough, bm IS NOT NULL AND NOT ar AS nr, bm IS NOT NULL AND wl AND NOT (re AND le) AS nl, bm IS NOT NULL AND v >= 5 AND NOT (bt >= 4 OR dh >= 2) AS un FROM z)"""
 
 
 @query(
     "stop_eligibility",
-    with_sql(TRIALS, STOPS, tail="""SELECT run_id, v AS valid_trainings, bm AS best_model, bt AS best_trials, dh AS distinct_hyperparameters, hard OR (enough AND NOT nr AND NOT nl AND NOT un) AS eligible, hard AS hard_stop,
+    with_sql(TRIALS, BY_ORDER, STOPS, tail="""SELECT run_id, v AS valid_trainings, bm AS best_model, bt AS best_trials, dh AS distinct_hyperparameters, hard OR (enough AND NOT nr AND NOT nl AND NOT un) AS eligible, hard AS hard_stop,
       CASE WHEN hard THEN '' ELSE concat_ws(',', CASE WHEN NOT enough THEN 'minimum_valid_trainings_not_reached' END, CASE WHEN nr THEN 'required_raw_candidate_pending' END,
         CASE WHEN nl THEN 'required_log_refinement_pending' END, CASE WHEN un THEN 'current_best_refinement_incomplete' END) END AS blockers,
       CASE WHEN bm IS NULL THEN 0 ELSE ((bt >= 4 OR dh >= 2)::INT + CASE WHEN wl THEN (re::INT + le::INT) / 2e0 ELSE 1 END) / 2e0 END AS refinement_completeness FROM y"""),
 )
 def stop_eligibility(spark, sf):
-    rows = L.valid(trials(spark, sf)).filter((F.element_at("lags", 2) == 7) & F.col("hyperparameters").isin("2", "3", "5", "8", "13", "21"))
-    return L.stop_eligibility(rows, _settings(spark, sf))
+    return L.stop_eligibility(by_order(L.valid(trials(spark, sf))), _settings(spark, sf, "l_orderkey"))
 
 
 ARB = """a AS (SELECT l_partkey AS run_id, count(*) AS c, round(avg((l_linenumber > 3)::INT), 1) AS explore, round(avg((l_returnflag = 'A')::INT), 1) AS refine, round(avg((l_linestatus = 'F')::INT), 1) AS stop FROM lineitem GROUP BY 1),
