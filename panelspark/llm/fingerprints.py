@@ -14,19 +14,19 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut
 from .blocks import U64, Polynomial, mix, part_count, steps, texts
 
-#: Bytes of the rolling window, smallest block size, most chunks that the finer signature holds.
-WINDOW, SMALLEST, CHUNKS = 7, 3, 64
+#: Bytes of the rolling window, smallest block size, most chunks that the finest signature holds, signatures.
+WINDOW, SMALLEST, CHUNKS, SIZES = 7, 3, 64, 3
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 ROLL = (mix(np.arange(257, dtype=U64) * U64(0xA0761D6478BD642F)) & U64(0xFFFFFFFF)).astype(np.uint32)
 ROLL[0] = 0
 
 
 def fingerprints(values: list[bytes]) -> list[str]:
-    """``block:signature:coarser signature`` of every value, over all its bytes.
+    """``block:signature:coarser:coarsest signature`` of every value, over all its bytes.
 
     A chunk ends where the hash of the last bytes hits a multiple of the block size; each chunk
     gives one letter.  The block size is the smallest 3 * 2^i that leaves at most 64 chunks, so no
-    chunk is ever left out; the coarser signature has twice the block size.
+    chunk is ever left out; each coarser signature has twice the block size of the one before.
     """
     sizes = np.array([len(v) for v in values], np.int64)
     at = np.concatenate(([0], np.cumsum(sizes)))
@@ -54,31 +54,28 @@ def fingerprints(values: list[bytes]) -> list[str]:
     hashes = Polynomial(data)
     last = at[1:][sizes > 0] - 1
     signatures = []
-    for coarser in (0, 1):
+    for coarser in range(SIZES):
         stops = np.union1d(ends[level >= first[doc[ends]] + coarser], last)
         starts = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
         letters = LETTERS[(hashes(starts, stops + 1) >> U64(58)).astype(np.int64)].tobytes().decode()
         cuts = np.concatenate(([0], np.cumsum(np.bincount(doc[stops], minlength=len(values)))))
         signatures.append([letters[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
-    return [f"{SMALLEST << int(i)}:{a}:{b}" for i, a, b in zip(first, *signatures)]
+    return [":".join((str(SMALLEST << int(i)), *own)) for i, *own in zip(first, *signatures)]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: edit-distance likeness of two fingerprints at the block sizes they share; 0 without a shared one."""
+    """0 to 1: edit-distance likeness of two fingerprints at the smallest block size that they share; 0 without a shared one."""
     x, y = F.split(a, ":"), F.split(b, ":")
-    size = lambda p: p[0].cast("long")
 
     def near(s: Column, t: Column) -> Column:
         longest = F.greatest(F.length(s), F.length(t))
         return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(s, t) / longest)
 
-    return (
-        F.when(a == b, 1.0)
-        .when(size(x) == size(y), F.greatest(near(x[1], y[1]), near(x[2], y[2])))
-        .when(size(x) == 2 * size(y), near(x[1], y[2]))
-        .when(2 * size(x) == size(y), near(x[2], y[1]))
-        .otherwise(0.0)
-    )
+    value = F.when(a == b, 1.0)
+    for apart in range(SIZES):
+        value = value.when(x[0].cast("long") == y[0].cast("long") * (1 << apart), near(x[1], y[1 + apart]))
+        value = value.when(y[0].cast("long") == x[0].cast("long") * (1 << apart), near(x[1 + apart], y[1]))
+    return value.otherwise(0.0)
 
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, text string, part int, place string"
