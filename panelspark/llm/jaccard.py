@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from .storage import written
 WORDS, NUM, DEN = 5, 3, 4
 #: Size bands up to this size index one-deletion neighbourhoods too.
 SMALL = 64
-#: Documents of a list that are compared with the whole list in one round.
-LEADERS = 16
+#: Bytes of sets in one block of a crowd: of the documents left outside its main group, and of all its documents.
+OUTSIDE_BYTES, CROWD_BYTES = 8 << 20, 16 << 20
 INDEX, PROBE = 1, 2
 KEYS, INFO, FOLLOW = 0, 1, 2
 INFO_TYPE = np.dtype([("set", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("own", "<i4"), ("low", "<i4"), ("all", "<i4")])
@@ -306,13 +307,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                both = 0
-                if len(x) * DEN >= len(y) * NUM:
-                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good.append(both > 0 and both * DEN >= NUM * (len(x) + len(y) - both))
+                good.append(links(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
@@ -342,6 +337,83 @@ def _allocated(found: DataFrame) -> DataFrame:
     return written(joined.filter(F.col("probe") | F.col("index")))
 
 
+def _across(crowds: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join groups of one crowd: documents outside its largest group are held against all its documents.
+
+    Both sides are dealt in blocks of bounded bytes; each pair of blocks is a task of its own that
+    returns as many links as join its groups, whatever the number of linked pairs.
+    """
+    state = crowds.select(F.col("node").alias("doc"), F.col("component").alias("crowd")).join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    state = written(state.select("doc", "crowd", F.coalesce("component", "doc").alias("component")))
+    sizes = written(state.groupBy("crowd", "component").agg(F.count("*").alias("docs")))
+    main = sizes.groupBy("crowd").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("docs", -F.col("component"))).alias("main")).filter("groups > 1")
+    mixed = state.join(written(main.select("crowd", "main")), "crowd").join(sets, "doc")
+    mixed = written(mixed.select("crowd", "component", "doc", (F.col("component") != F.col("main")).alias("outside"), "tokens"), "none")
+    weight = F.length("tokens")
+    blocks = mixed.groupBy("crowd").agg(
+        F.ceil(F.sum(F.when(F.col("outside"), weight).otherwise(0)) / OUTSIDE_BYTES).cast("int").alias("n_out"), F.ceil(F.sum(weight) / CROWD_BYTES).cast("int").alias("n_all")
+    )
+    dealt = mixed.join(written(blocks), "crowd")
+    every = F.xxhash64("doc")
+    mine = dealt.filter("outside").withColumn("o", F.pmod(every, "n_out").cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
+    all_of = dealt.withColumn("m", F.pmod(every, "n_all").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)))
+    columns = ["crowd", "o", "m", "component", "doc", "tokens"]
+    both = mine.select(*columns, F.lit(True).alias("left")).unionByName(all_of.select(*columns, F.lit(False).alias("left")))
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["left"]], rows[~rows["left"]]
+        found = joining_links(_unpacked(a), a["component"].tolist(), _unpacked(b), b["component"].tolist())
+        return pd.DataFrame({"a": a["doc"].to_numpy()[[x for x, _ in found]], "b": b["doc"].to_numpy()[[y for _, y in found]]})
+
+    return both.groupBy("crowd", "o", "m").applyInPandas(join, "a long, b long")
+
+
+def _unpacked(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(t, "<u8") for t in rows["tokens"]]
+
+
+def links(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets share NUM / DEN of their union."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) * DEN < len(y) * NUM:
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both * DEN >= NUM * (len(x) + len(y) - both)
+
+
+def joining_links(left: list[np.ndarray], left_group: list[int], right: list[np.ndarray], right_group: list[int], rows: int = 16) -> list[tuple[int, int]]:
+    """Linked (left, right) places that join groups, until no linked pair lies in two of them.
+
+    Pairs are sifted by parity sketches: the bits in which two sketches differ are never more than
+    the tokens in which the sets differ.  What is left is compared token by token.
+    """
+    sizes = [len(s) for s in left + right]
+    bits = 1 << min(16, max(8, (4 * max(sizes, default=1) - 1).bit_length()))
+    shift = U64(64 - (bits.bit_length() - 1))
+    sketch = lambda s: np.packbits((np.bincount((s >> shift).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(U64)
+    a, b = np.stack([sketch(s) for s in left]), np.stack([sketch(s) for s in right])
+    n_a, n_b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    parent: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while parent.get(g, g) != g:
+            g = parent[g]
+        return g
+
+    found = []
+    of_b = np.array(right_group)
+    for low in range(0, len(a), rows):
+        apart = np.bitwise_count(a[low : low + rows, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+        near = (apart * (DEN + NUM) <= (n_a[low : low + rows, None] + n_b[None, :]) * (DEN - NUM)) & (np.array(left_group[low : low + rows])[:, None] != of_b[None, :])
+        for x, y in zip(*np.nonzero(near)):
+            g, h = find(left_group[low + x]), find(right_group[y])
+            if g != h and links(left[low + x], right[y]):
+                parent[max(g, h)] = min(g, h)
+                found.append((low + int(x), int(y)))
+    return found
+
+
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -350,10 +422,10 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are one node that has the links of all of them; rows without doc_id keep a null component_id;
     an empty table gives no rows.
 
-    Links are verified on whole sets.  Within a list of candidates every document is first compared
-    with the smallest one; only documents that end up in different groups are compared further,
-    until each such pair of a list has been compared.  So groups lose no link, and no list is ever
-    expanded into all its pairs.
+    Links are verified on whole sets.  Every document is first compared with the smallest one of its
+    lists.  Documents that share lists, directly or through others, are a crowd; in a crowd that
+    isn't one group by then, the documents outside its largest group are compared with all of it.
+    So groups lose no link, and no list is expanded into all its pairs.
     """
     plain = texts(docs, doc_id, text)
     known = plain.filter("doc_id is not null")
@@ -371,29 +443,10 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     leader = written(members.groupBy("list").agg(F.min("doc").alias("a")))
     first = members.join(leader, "list").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).filter("a <> b")
-    links = written(_verified(first.select("a", "b"), sets).unionByName(pooled.distinct()))
-    tested = None
-    while True:
-        groups = components(links)
-        state = members.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = state.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-        state = written(state.join(written(mixed), "list", "left_semi"))
-        main = state.groupBy("list", "component").agg(F.count("*").alias("docs")).groupBy("list").agg(F.max_by("component", F.struct("docs", -F.col("component"))).alias("main"))
-        state = written(state.join(written(main), "list"))
-        outside = state.filter("component <> main").select("list", F.col("doc").alias("a"), F.col("component").alias("group_a"), F.col("probe").alias("probe_a"), F.col("index").alias("index_a"))
-        if tested is not None:
-            outside = outside.join(tested, ["list", "a"], "left_anti")
-        ranked = outside.withColumn("k", F.row_number().over(Window.partitionBy("list").orderBy("a"))).filter(F.col("k") <= LEADERS).drop("k")
-        ranked = written(ranked)
-        if ranked.isEmpty():
-            break
-        done = ranked.select("list", "a")
-        tested = done if tested is None else written(tested.unionByName(done))
-        pairs = ranked.join(state, "list").filter("component <> group_a and ((probe_a and index) or (index_a and probe))")
-        pairs = pairs.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-        more = _verified(pairs, sets)
-        if not more.isEmpty():
-            links = written(links.unionByName(more).distinct())
+    linked = written(_verified(first.select("a", "b"), sets).unionByName(pooled.distinct()))
+    crowds = components(members.join(leader, "list").select(F.col("doc").alias("b"), "a").filter("a <> b").distinct())
+    more = _across(crowds, components(linked), sets)
+    groups = components(linked.unionByName(more))
 
     placed = rows.join(groups.select(F.col("node").alias("ref"), "component"), "ref", "left")
     out = placed.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "ref").alias("component_id"))
