@@ -18,12 +18,13 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U64(44)) % U64(buckets)).astype(np.int64)
 
 
-def pack_keys(docs: np.ndarray, slot: np.ndarray, keys: np.ndarray, flags: np.ndarray, buckets: int, kind: int) -> list[tuple[int, int, bytes]]:
-    """Rows (bucket, kind, body) of keys: 46 bits of each key and 2 flags, grouped by document; ``slot`` points into ``docs``."""
+def pack_keys(docs: np.ndarray, slot: np.ndarray, keys: np.ndarray, flags: np.ndarray, buckets: int, kind: int, extra: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
+    """Rows (bucket, kind, body) of keys: 46 bits of each key and 2 flags, grouped by document; ``slot`` points into ``docs``; 48 bits of ``extra`` go along."""
     bucket = bucket_of(keys, buckets)
     kept = ((keys & U64((1 << 46) - 1)) << U64(2)) | flags.astype(U64)
     order = np.argsort(bucket * len(docs) + slot, kind="stable")
     bucket, slot, kept = bucket[order], slot[order], kept[order]
+    extra = extra[order] if extra is not None else None
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     rows = []
     for low, high in zip([0, *cuts], [*cuts, len(bucket)]):
@@ -32,10 +33,20 @@ def pack_keys(docs: np.ndarray, slot: np.ndarray, keys: np.ndarray, flags: np.nd
         new = np.concatenate(([0], np.flatnonzero(np.diff(slot[low:high])) + 1))
         ids = docs[slot[low:high][new]]
         body = np.int32(len(new)).tobytes() + ids.astype("<i8").tobytes() + np.diff([*new, high - low]).astype("<i4").tobytes() + six(kept[low:high])
-        rows.append((int(bucket[low]), kind, body))
+        rows.append((int(bucket[low]), kind, body + (six(extra[low:high]) if extra is not None else b"")))
     return rows
 
 
+def unpack_extra(bodies: list[bytes]) -> np.ndarray:
+    """The 48 bits that go along with every entry."""
+    parts = [np.zeros(0, U64)]
+    for body in bodies:
+        n = int(np.frombuffer(body, "<i4", 1)[0])
+        total = int(np.frombuffer(body, "<i4", n, 4 + 8 * n).sum())
+        parts.append(unsix(body[4 + 12 * n + 6 * total :]))
+    return np.concatenate(parts)
+
+
 def unpack_keys(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, key (46 bits) and flags of every entry."""
     docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
@@ -43,7 +54,7 @@ def unpack_keys(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         n = int(np.frombuffer(body, "<i4", 1)[0])
         ids, counts = np.frombuffer(body, "<i8", n, 4), np.frombuffer(body, "<i4", n, 4 + 8 * n)
         docs.append(np.repeat(ids, counts))
-        keys.append(unsix(body[4 + 12 * n :]))
+        keys.append(unsix(body[4 + 12 * n : 4 + 12 * n + 6 * int(counts.sum())]))
     kept = np.concatenate(keys)
     return np.concatenate(docs), kept >> U64(2), (kept & U64(3)).astype(np.int64)
 

@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import U64, Polynomial, integers, mix, part_count, runs, steps, texts, utf8
-from .exchange import DEALT, UNIT_KEYS, bucket_of, by_bucket, dealt_batch, pack_keys, unpack_keys
+from .exchange import DEALT, UNIT_KEYS, bucket_of, by_bucket, dealt_batch, pack_keys, unpack_extra, unpack_keys
 
-#: Bytes of a repeated string, bytes of an anchor, documents from which an anchor's strings are dealt one by one.
+#: Bytes of a repeated string, bytes of an anchor, different stretches from which those of an anchor are dealt window by window.
 SPAN, ANCHOR, CROWD = 50, 16, 256
 SLIDE = SPAN - ANCHOR + 1
 #: No byte of UTF-8: what stands before the first symbol of a string.
 END = 255
 #: Bytes of one stretch of a document whose anchors are found at once, strings of one transform, bytes gathered before dealing.
-STRETCH, STRINGS, UNIT_BYTES = 1 << 22, 1 << 16, 24 << 20
+STRETCH, STRINGS, UNIT_BYTES = 1 << 20, 1 << 14, 8 << 20
 PIECES, COVERED = 1, 2
 PIECE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i4")])
 SPANS = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("end", "<i8")])
@@ -79,10 +79,10 @@ def column_transform(data: np.ndarray, start: np.ndarray, size: np.ndarray, fold
     done = 0  # symbols inserted of every live string
     while len(string):
         bwt, lcp = np.fromfile(paths[0], np.uint8), np.fromfile(paths[1], np.uint8)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        k = rank[row]
+        order = np.argsort(bwt, kind="stable").astype(np.int32)
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
+        k = rank[row].astype(np.int64)
         symbol = bwt[row]
         live = int(np.count_nonzero(bwt != END))
         place = n + k
@@ -91,8 +91,8 @@ def column_transform(data: np.ndarray, start: np.ndarray, size: np.ndarray, fold
         up = np.flatnonzero((k > 0) & (bwt[before] == symbol))
         down = np.flatnonzero((k + 1 < live) & (bwt[after] == symbol))
         own = np.zeros(len(row), np.uint8)
-        own[up] = _smallest(padded, before[up] + 1, row[up] + 1)
-        below = _smallest(padded, row[down] + 1, after[down] + 1)
+        own[up] = _smallest(padded, before[up].astype(np.int64) + 1, row[up] + 1)
+        below = _smallest(padded, row[down] + 1, after[down].astype(np.int64) + 1)
         done += 1
         left = size[string] - done  # symbols before the suffix that is now inserted
         following = np.where(left > 0, data[start[string] + np.maximum(left, 1) - 1], END).astype(np.uint8)
@@ -174,76 +174,110 @@ def _merged_rows(rows: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else rows
 
 
+def _name(anchor: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """46 bits that name a stretch: its anchor (46 bits) and its bytes (48 bits of their hash)."""
+    return mix(anchor ^ mix(sign + U64(0x632BE59BD9B4E019))) >> U64(18)
+
+
 def _anchors(plain: DataFrame, buckets: int) -> DataFrame:
-    """Anchor hashes of every document, by bucket."""
+    """Anchor hashes of every document with the hash of the stretch around them, by bucket."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, slots, keys, held, base = [], [], [], 0, 0
+        ids, slots, keys, signs, held, base = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             key = np.concatenate(keys)
-            return dealt_batch(pack_keys(np.concatenate(ids), np.concatenate(slots), key, np.zeros(len(key), np.int8), buckets, 0))
+            return dealt_batch(pack_keys(np.concatenate(ids), np.concatenate(slots), key, np.zeros(len(key), np.int8), buckets, 0, np.concatenate(signs)))
 
         for batch in steps(batches):
-            doc, _, _, key = anchored(*utf8(batch.column(1)))
+            data, at = utf8(batch.column(1))
+            doc, first, last, key = anchored(data, at)
             if not len(key):
                 continue
             ids.append(integers(batch, "doc_id"))
             slots.append(base + doc)
             keys.append(key)
+            signs.append(Polynomial(data)(first, last + SPAN))
             base += batch.num_rows
             held += len(key)
             if held >= UNIT_KEYS:
                 yield flush()
-                ids, slots, keys, held, base = [], [], [], 0, 0
+                ids, slots, keys, signs, held, base = [], [], [], [], 0, 0
         if keys:
             yield flush()
 
     return by_bucket(plain.mapInArrow(deal, DEALT), buckets)
 
 
+GONE, SENT, CROWDED = 1, 2, 3
+
+
 def _shared(dealt: DataFrame) -> DataFrame:
-    """(doc, keys): the anchors of a document that another one has too; the low bit of a key marks a crowded one."""
+    """(doc, keys): what is to become of a document's stretches, as 46 bits of their name and 2 of their fate.
+
+    A stretch that is the same in a smaller document is GONE as a whole.  Of the others, those whose
+    anchor has different stretches in several documents are SENT to be compared, as single windows
+    where there are many (CROWDED).  Nothing is said of the rest: no other document has their anchor,
+    or all have the same stretch and this is the smallest document.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies, bucket = [], 0
+        bodies = []
         for batch in batches:
-            for b, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                bodies.append(body)
-                bucket = b
+            bodies += batch.column(2).to_pylist()
         doc, key, _ = unpack_keys(bodies)
+        sign = unpack_extra(bodies)
         if not len(key):
             return
-        order = np.lexsort((doc, key))
-        doc, key = doc[order], key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        doc, key = doc[new], key[new]
+        order = np.lexsort((doc, sign, key))
+        doc, key, sign = doc[order], key[order], sign[order]
         start, which = runs(key)
-        size = np.diff([*start, len(key)])[which]
-        keep = size > 1
-        doc, key, size = doc[keep], key[keep], size[keep]
-        out = (key << U64(1) | (size > CROWD).astype(U64)).astype("<u8")
+        several = (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))[which]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sign[1:] != sign[:-1])
+        first = np.flatnonzero(new)
+        least = doc[first][np.cumsum(new) - 1]
+        kinds = np.add.reduceat(new.astype(np.int64), start)[which]
+        fate = np.where(doc > least, GONE, np.where(kinds > CROWD, CROWDED, np.where(kinds > 1, SENT, 0)))
+        keep = several & (fate > 0)
+        doc, out = doc[keep], (_name(key[keep], sign[keep]) << U64(2) | fate[keep].astype(U64)).astype("<u8")
+        if not len(doc):
+            return
         order = np.argsort(doc, kind="stable")
         doc, out = doc[order], out[order]
-        cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         blobs = [out[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(doc)])]
         yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(blobs, pa.binary())], names=["doc", "keys"])
 
     return dealt.mapInArrow(find, "doc long, keys binary")
 
 
+def _dealt_spans(covered: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Spans that are settled already, by document."""
+    target = (mix(covered["doc"].astype(U64)) % U64(buckets)).astype(np.int64)
+    by = np.argsort(target, kind="stable")
+    return [(int(target[part[0]]), COVERED, covered[part].tobytes()) for part in np.split(by, np.flatnonzero(np.diff(target[by])) + 1) if len(part)]
+
+
 def _pieces(marked: DataFrame, buckets: int) -> DataFrame:
-    """Strings around shared anchors, by bucket; of equal ones only those of the smallest document of a unit travel.
+    """Stretches that are to be compared, by bucket of their anchor; those of crowded anchors as single windows, by bucket of their bytes.
 
-    The strings of a crowded anchor travel as single windows, each to the bucket of its own bytes.
+    Of equal strings of a unit only those of the smallest document travel.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # doc, row, start, size, hash, bucket, bytes of the block, place in it
+        settled: list[np.ndarray] = []
         gathered = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            rows = _dealt_spans(np.concatenate(settled), buckets) if settled else []
+            if sum(len(h[0]) for h in held):
+                rows += strings_of()
+            if rows:
+                yield dealt_batch(rows)
+
+        def strings_of() -> list[tuple[int, int, bytes]]:
             doc, row, start, size, sign, bucket, block, place = (np.concatenate(x) for x in zip(*[(*h[:6], np.full(len(h[0]), k), h[7]) for k, h in enumerate(held)]))
             blocks = [h[6] for h in held]
             order = np.lexsort((doc, sign))
@@ -254,54 +288,52 @@ def _pieces(marked: DataFrame, buckets: int) -> DataFrame:
             if len(gone):
                 covered = np.empty(len(gone), SPANS)
                 covered["doc"], covered["row"], covered["start"], covered["end"] = doc[gone], row[gone], start[gone], start[gone] + size[gone]
-                covered = _merged_rows(covered)
-                target = (mix(covered["doc"].astype(U64)) % U64(buckets)).astype(np.int64)
-                by = np.argsort(target, kind="stable")
-                for part in np.split(by, np.flatnonzero(np.diff(target[by])) + 1):
-                    rows.append((int(target[part[0]]), COVERED, covered[part].tobytes()))
+                rows += _dealt_spans(_merged_rows(covered), buckets)
             kept = kept[np.argsort(bucket[kept], kind="stable")]
             for part in np.split(kept, np.flatnonzero(np.diff(bucket[kept])) + 1):
                 head = np.empty(len(part), PIECE)
                 head["doc"], head["row"], head["start"], head["size"] = doc[part], row[part], start[part], size[part]
                 strings = b"".join(blocks[b][p : p + s].tobytes() for b, p, s in zip(block[part], place[part], size[part]))
                 rows.append((int(bucket[part[0]]), PIECES, np.int32(len(part)).tobytes() + head.tobytes() + strings))
-            yield dealt_batch(rows)
+            return rows
 
         for batch in steps(batches):
             data, at = utf8(batch.column(1))
             ids, row = integers(batch, "doc_id"), integers(batch, "row")
-            wanted, crowd = [], []
+            wanted, fates = [], []
             for k, blobs in enumerate(batch.column(3).to_pylist()):
                 keys = np.unique(np.frombuffer(b"".join(blobs), "<u8"))
-                wanted.append((np.full(len(keys), k), keys >> U64(1)))
-                crowd.append((keys & U64(1)).astype(bool))
+                wanted.append(mix(keys >> U64(2)) + U64(k))
+                fates.append((keys & U64(3)).astype(np.int64))
             doc, first, last, key = anchored(data, at)
-            short = key & U64((1 << 46) - 1)
-            owner, want = (np.concatenate(x) for x in zip(*wanted))
-            crowd = np.concatenate(crowd)
-            # both sides as one number: the document, then the anchor
-            mine, theirs = mix(short * U64(2) + U64(1)) + doc.astype(U64), mix(want * U64(2) + U64(1)) + owner.astype(U64)
-            by = np.argsort(theirs, kind="stable")
-            spot = np.minimum(np.searchsorted(theirs[by], mine), max(len(theirs) - 1, 0))
-            hit = np.flatnonzero(theirs[by][spot] == mine) if len(theirs) else np.zeros(0, np.int64)
-            if not len(hit):
+            want, fate = np.concatenate(wanted), np.concatenate(fates)
+            if not len(key) or not len(want):
                 continue
-            crowded = crowd[by][spot[hit]]
-            whole, single = hit[~crowded], hit[crowded]
+            hashes = Polynomial(data)
+            name = _name(key & U64((1 << 46) - 1), hashes(first, last + SPAN) & U64((1 << 48) - 1))
+            mine = mix(name) + doc.astype(U64)  # the name and the document as one number
+            by = np.argsort(want, kind="stable")
+            spot = np.minimum(np.searchsorted(want[by], mine), len(want) - 1)
+            fate = np.where(want[by][spot] == mine, fate[by][spot], 0)
+            gone, whole, single = (np.flatnonzero(fate == f) for f in (GONE, SENT, CROWDED))
+            if len(gone):
+                covered = np.empty(len(gone), SPANS)
+                covered["doc"], covered["row"] = ids[doc[gone]], row[doc[gone]]
+                covered["start"], covered["end"] = first[gone] - at[doc[gone]], last[gone] + SPAN - at[doc[gone]]
+                settled.append(_merged_rows(covered))
             count = last[single] - first[single] + 1
             one = np.repeat(first[single], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             d = np.concatenate((doc[whole], np.repeat(doc[single], count)))
             start = np.concatenate((first[whole], one))
             size = np.concatenate((last[whole] - first[whole] + SPAN, np.full(len(one), SPAN)))
-            sign = Polynomial(data)(start, start + size)
+            sign = hashes(start, start + size)
             bucket = np.concatenate((bucket_of(mix(key[whole]), buckets), bucket_of(mix(sign[len(whole) :]), buckets)))
             held.append((ids[d], row[d], start - at[d], size, sign, bucket, data, start))
             gathered += int(size.sum()) + len(data)
             if gathered >= UNIT_BYTES:
                 yield from flush()
-                held, gathered = [], 0
-        if held:
-            yield from flush()
+                held, settled, gathered = [], [], 0
+        yield from flush()
 
     return by_bucket(marked.select("doc_id", "text", "row", "keys").mapInArrow(deal, DEALT), buckets)
 
@@ -338,7 +370,7 @@ def _spans(pieces: DataFrame) -> DataFrame:
             distinct = order[first]
             part = np.zeros(len(distinct), np.int64)
             if len(distinct) > STRINGS:
-                _, low, _, key = _first_anchor(data, start[distinct], size[distinct])
+                key = np.concatenate([_first_anchor(data, start[some], size[some]) for some in np.split(distinct, range(STRINGS, len(distinct), STRINGS))])
                 part = (mix(key) % U64(-(-len(distinct) // STRINGS))).astype(np.int64)
             for p in np.unique(part):
                 mine = np.flatnonzero(part == p)
@@ -375,11 +407,10 @@ def _spans(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(judge, "doc long, row long, spans binary")
 
 
-def _first_anchor(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _first_anchor(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The anchor of the first window of every string; all windows of a string share it."""
-    at = np.concatenate(([0], np.cumsum(np.full(len(start), SPAN))))
     block = data[(start[:, None] + np.arange(SPAN)).ravel()]
-    return anchored(block, at)
+    return anchored(block, np.arange(0, len(block) + 1, SPAN))[3]
 
 
 def _cover(head: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -393,8 +424,8 @@ def _cover(head: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _judged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Documents with the spans to remove (binary pairs from all buckets, null: none)."""
+def _judged(docs: DataFrame, doc_id: str, text: str, function, schema: str) -> DataFrame:
+    """``function`` over documents with the spans to remove (binary pairs from all buckets, null: none) and the hash of the text."""
     plain = texts(docs, doc_id, text)
     buckets = part_count(plain)
     known = plain.filter("doc_id is not null")
@@ -402,8 +433,10 @@ def _judged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     marked = known.join(wanted, "doc_id").withColumn("row", F.xxhash64("text"))
     spans = _spans(_pieces(marked, buckets)).groupBy(F.col("doc").alias("span_doc")).agg(F.collect_list(F.struct("row", "spans")).alias("found"))
     mine = F.filter("found", lambda s: s["row"] == F.xxhash64("text"))
-    judged = known.join(spans, known["doc_id"] == spans["span_doc"], "left").select("doc_id", "text", F.transform(mine, lambda s: s["spans"]).alias("spans"))
-    return judged.unionByName(plain.filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<binary>")))
+    judged = known.join(spans, known["doc_id"] == spans["span_doc"], "left").select("doc_id", "text", F.transform(mine, lambda s: s["spans"]).alias("spans"), F.xxhash64("text").alias("row"))
+    nameless = plain.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"), F.xxhash64("text").alias("row"))
+    # a union below the function would keep both joins from sharing one exchange of the texts
+    return judged.mapInArrow(function, schema).unionByName(nameless.mapInArrow(function, schema))
 
 
 def _cut_out(text: bytes, blobs: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -436,7 +469,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             n_bytes, removed, n_spans, sha = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, n_spans)), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _judged(docs, doc_id, text).mapInArrow(digest, RESULT)
+    return _judged(docs, doc_id, text, digest, RESULT)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -453,4 +486,4 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             kept = [_cut_out(raw[at[k] : at[k + 1]], blobs)[0].decode("utf-8", "ignore") for k, blobs in enumerate(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(kept, pa.string())], names=["doc_id", "row", "text"])
 
-    return _judged(docs, doc_id, text).withColumn("row", F.xxhash64("text")).mapInArrow(cut, "doc_id long, row long, text string")
+    return _judged(docs, doc_id, text, cut, "doc_id long, row long, text string")
