@@ -20,6 +20,8 @@ SPAN, ANCHOR, CROWD = 50, 16, 256
 SLIDE = SPAN - ANCHOR + 1
 #: No byte of UTF-8: what stands before the first symbol of a string.
 END = 255
+#: Places of the anchor in a window that are sifted together.
+SIEVE = 6
 #: Bytes of one stretch of a document whose anchors are found at once, strings of one transform, bytes gathered before dealing.
 STRETCH, STRINGS, UNIT_BYTES = 1 << 20, 1 << 14, 8 << 20
 PIECES, COVERED = 1, 2
@@ -27,8 +29,8 @@ PIECE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i
 SPANS = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
-def anchored(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of SPAN-byte windows that share an anchor: document, first and last window start, hash of the anchor.
+def anchored(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of SPAN-byte windows that share an anchor: document, first and last window start, hash and place of the anchor.
 
     The anchor of a window is the ANCHOR-byte string in it with the smallest hash, the leftmost of
     equal ones: equal windows have equal anchors, wherever they stand.
@@ -55,10 +57,10 @@ def anchored(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         new[1:] = (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1]) | (good[1:] != good[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(good)) - 1
-        found.append((doc[first], base + good[first], base + good[last], mix(gram[pick[first]])))
+        found.append((doc[first], base + good[first], base + good[last], mix(gram[pick[first]]), base + pick[first]))
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U64)
+        return none, none, none, np.zeros(0, U64), none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -191,7 +193,7 @@ def _anchors(plain: DataFrame, buckets: int) -> DataFrame:
 
         for batch in steps(batches):
             data, at = utf8(batch.column(1))
-            doc, first, last, key = anchored(data, at)
+            doc, first, last, key, _ = anchored(data, at)
             if not len(key):
                 continue
             ids.append(integers(batch, "doc_id"))
@@ -305,7 +307,7 @@ def _pieces(marked: DataFrame, buckets: int) -> DataFrame:
                 keys = np.unique(np.frombuffer(b"".join(blobs), "<u8"))
                 wanted.append(mix(keys >> U64(2)) + U64(k))
                 fates.append((keys & U64(3)).astype(np.int64))
-            doc, first, last, key = anchored(data, at)
+            doc, first, last, key, _ = anchored(data, at)
             want, fate = np.concatenate(wanted), np.concatenate(fates)
             if not len(key) or not len(want):
                 continue
@@ -366,14 +368,14 @@ def _spans(pieces: DataFrame) -> DataFrame:
             covered.append(_cover(head, copy, np.zeros(len(copy), np.int64), size[copy] - SPAN))
             same = order[rest & (head["doc"][order] == least[which])]
             twin = which[rest & (head["doc"][order] == least[which])]
-            # one transform for each set of anchors that can share a window
             distinct = order[first]
-            part = np.zeros(len(distinct), np.int64)
-            if len(distinct) > STRINGS:
-                key = np.concatenate([_first_anchor(data, start[some], size[some]) for some in np.split(distinct, range(STRINGS, len(distinct), STRINGS))])
-                part = (mix(key) % U64(-(-len(distinct) // STRINGS))).astype(np.int64)
+            place = [_first_anchor(data, start[some], size[some]) for some in np.split(distinct, range(STRINGS, len(distinct), STRINGS))]
+            key, anchor = (np.concatenate(x) for x in zip(*place))
+            numbers = np.flatnonzero(_extended(data, start[distinct], size[distinct], anchor))
+            # one transform for each set of anchors that can share a window
+            part = (mix(key[numbers]) % U64(max(1, -(-len(numbers) // STRINGS)))).astype(np.int64)
             for p in np.unique(part):
-                mine = np.flatnonzero(part == p)
+                mine = numbers[part == p]
                 chosen = distinct[mine]
                 with tempfile.TemporaryDirectory() as folder:
                     string, offset = earliest(data, start[chosen], size[chosen], head["doc"][chosen].astype(np.int64), folder)
@@ -407,10 +409,30 @@ def _spans(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(judge, "doc long, row long, spans binary")
 
 
-def _first_anchor(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The anchor of the first window of every string; all windows of a string share it."""
+def _first_anchor(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the anchor of the first window of every string, and its place in the string; all its windows share it."""
     block = data[(start[:, None] + np.arange(SPAN)).ravel()]
-    return anchored(block, np.arange(0, len(block) + 1, SPAN))[3]
+    _, first, _, key, place = anchored(block, np.arange(0, len(block) + 1, SPAN))
+    return key, place - first
+
+
+def _extended(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Which strings agree with another one on most of some window around the anchor.
+
+    A window has SPAN - ANCHOR further bytes; by how many of them stand before the anchor, windows
+    fall into classes of SIEVE, and equal windows agree at least on what all of their class have.
+    """
+    rest = SPAN - ANCHOR
+    hashes = Polynomial(data)
+    keep = np.zeros(len(start), bool)
+    for before in range(0, rest + 1, SIEVE):
+        behind = max(0, rest - (before + SIEVE - 1))
+        low, high = anchor - before, anchor + ANCHOR + behind
+        there = np.flatnonzero((low >= 0) & (high <= size))
+        sign = hashes(start[there] + low[there], start[there] + high[there])
+        _, which, count = np.unique(sign, return_inverse=True, return_counts=True)
+        keep[there] |= count[which] > 1
+    return keep
 
 
 def _cover(head: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ FOLDS, HELD_OUT = 5, 0
 WINDOW, STRIDE, GRAM, LEAST = 40, 32, 4, 4
 #: Sizes of the word and character embeddings, of a direction's state and of the attention.
 WORD_DIM, CHAR_DIM, STATE, ATTEND = 10, 10, 12, 12
-BATCH, EPOCHS, RATE, SEED = 128, 8, 0.01, 7
+BATCH, EPOCHS, LEAST_STEPS, RATE, SEED = 128, 8, 250, 0.01, 7
 STEP = 2 << 20
 
 _inside = np.ones(256, bool)
@@ -247,8 +247,10 @@ def fit(rows: list[tuple[str, int]]) -> Network:
     typical = np.where(index >= 0, value[np.maximum(index, 0)], -9.0).max(axis=1)
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
-        if epoch == 3 or epoch == 5:
+    # small tables get more passes, so that the descent has steps enough
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, 2 * int((~aside).sum()))))
+    for epoch in range(epochs):
+        if epoch in (3 * epochs // 8, 5 * epochs // 8):
             vectors = net.vectors(words)
             typical = np.concatenate([net.logits(vectors, index[k : k + 4096]) for k in range(0, len(index), 4096)])
         order = np.lexsort((-typical, owner))
@@ -278,7 +280,7 @@ def fit(rows: list[tuple[str, int]]) -> Network:
                 m, v = moments[k]
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad**2 - v)
-                net.p[k] -= RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+                net.p[k] -= RATE * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
     logit, owner, _ = net.scores(words, len(rows))
     top = np.full(len(rows), -np.inf)
     np.maximum.at(top, owner, logit)
