@@ -14,7 +14,7 @@ from .blocks import remembered
 
 #: Pieces that a worker remembers; beyond it the memory starts afresh (a cache: results don't depend on it).
 REMEMBERED = 400_000
-CROWDED = re.compile(r"^\s| $| (?=\s)|(?<=\s) ")
+CROWDED = re.compile(r" (?=\s)"), re.compile(r"[^\S ] ")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -45,8 +45,27 @@ class Encoder:
             self.spaced = {}
         if len(self.plain) > REMEMBERED:
             self.plain = {}
-        cut = [(CUT.split(t), None) if CROWDED.search(t) else ((parts := t.split(" "))[:1], parts[1:]) for t in texts]
-        self._learn(self.plain, list({p for head, _ in cut for p in head}.difference(self.plain)), "")
-        self._learn(self.spaced, list({p for _, rest in cut if rest for p in rest}.difference(self.spaced)), " ")
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        return [np.frombuffer(b"".join([*map(plain, head), *map(spaced, rest or ())]), "<u4") for head, rest in cut]
+        cut = [self._cut(t) for t in texts]
+        found = [self._known(*c) for c in cut]
+        late = [k for k, ids in enumerate(found) if ids is None]
+        if late:
+            self._learn(self.plain, list({p for k in late for p in cut[k][0]}.difference(self.plain)), "")
+            self._learn(self.spaced, list({p for k in late for p in cut[k][1]}.difference(self.spaced)), " ")
+            for k in late:
+                found[k] = self._known(*cut[k])
+        return found
+
+    @staticmethod
+    def _cut(text: str) -> tuple[list[str], list[str]]:
+        """Pieces as they are, then pieces that a single space stands before."""
+        if not text or text[0].isspace() or text[-1] == " " or any(c.search(text) for c in CROWDED):
+            return CUT.split(text), []
+        parts = text.split(" ")
+        return parts[:1], parts[1:]
+
+    def _known(self, plain: list[str], spaced: list[str]) -> np.ndarray | None:
+        """Ids of remembered pieces in a row, None if one isn't remembered."""
+        try:
+            return np.frombuffer(b"".join([*map(self.plain.__getitem__, plain), *map(self.spaced.__getitem__, spaced)]), "<u4")
+        except KeyError:
+            return None
