@@ -16,6 +16,8 @@ from .blocks import remembered
 REMEMBERED = 400_000
 CROWDED = re.compile(r" (?=\s)"), re.compile(r"[^\S ] ")
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: One run of letters, then at most one mark: the letters are one pre-token (with the blank before them, if the tokenizer keeps it).
+SIMPLE = re.compile(r"([A-Za-zäöüßáéíóúñàâçèêëîïôû]+)([.,]?)")
 
 
 class Encoder:
@@ -26,6 +28,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.lowers = self.tokenizer.normalizer is not None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}  # how byte-level models spell the other bytes
+        self.marks = {m: self._bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ("", ".", ",")}
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
@@ -33,11 +41,26 @@ class Encoder:
     def of(cls, path: str) -> Encoder:
         return remembered(f"encoder {path}", lambda: cls(path))
 
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
     def _learn(self, known: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        for low in range(0, len(pieces), 4096):
-            part = pieces[low : low + 4096]
+        """Adds the ids of ``lead`` and each piece; a run of letters goes to the model as the one pre-token that it is."""
+        others = []
+        front = "" if self.lowers else lead  # the lower-casing tokenizer drops white space
+        for piece in pieces:
+            found = SIMPLE.fullmatch(piece)
+            if found is None:
+                others.append(piece)
+                continue
+            word = front + (found[1].lower() if self.lowers else found[1])
+            spelt = word.encode().decode("latin-1").translate(self.letters)
+            known[piece] = self._bytes([t.id for t in self.model.tokenize(spelt)]) + self.marks[found[2]]
+        for low in range(0, len(others), 4096):
+            part = others[low : low + 4096]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
+                known[piece] = self._bytes(found.ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of every text, unsigned 32-bit."""
