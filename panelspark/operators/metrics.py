@@ -30,16 +30,14 @@ def metric_columns(y: str = "y", yhat: str = "yhat", eps: float = 1e-8) -> dict[
 def mase_scale(train: DataFrame, period: int | str = 1) -> DataFrame:
     """Mean absolute seasonal difference of the raw training target; null where undefined.
 
-    ``period`` is one number for all series or the name of a column holding each series' own
-    (then at most 366).
+    ``period`` is one number for all series or the name of a column holding each series' own.
     """
     if isinstance(period, int):
         rows = framed(train, KEY, {"_past": lambda w: F.lag("target", period).over(w)}, back=period)
     else:
-        reach = 366
         rows = train.select(KEY, "pos", "target", period)
         past = rows.select(KEY, (F.col("pos") + F.col(period)).alias("pos"), F.col("target").alias("_past"))
-        rows = rows.filter(F.col(period) <= reach).join(past, [KEY, "pos"], "left")
+        rows = rows.join(past, [KEY, "pos"], "left")
     naive = F.avg(F.abs(F.col("target") - F.col("_past")))
     return rows.groupBy(KEY).agg(F.when(naive >= 1e-10, naive).alias("scale"))
 
