@@ -21,6 +21,8 @@ WINDOW, STRIDE, GRAM, LEAST = 40, 32, 4, 4
 WORD_DIM, CHAR_DIM, STATE, ATTEND = 10, 10, 12, 12
 BATCH, EPOCHS, LEAST_STEPS, RATE, SEED = 128, 8, 250, 0.01, 7
 STEP = 2 << 20
+#: Bytes of text, documents and windows that the fit holds in one step.
+BLOCK, BLOCK_DOCS, BLOCK_WINDOWS = 1 << 20, 256, 1024
 
 _inside = np.ones(256, bool)
 _inside[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
@@ -47,6 +49,33 @@ class Words:
         self.gram = hashes(place, np.minimum(place + GRAM, (low + size)[self.owner]))
         self.gram[np.searchsorted(self.owner, np.arange(len(first)))] ^= U64(0x9E3779B97F4A7C15)  # the first gram of a word is one of its own
 
+    @classmethod
+    def joined(cls, texts: list[str]) -> Words:
+        """Of a list of texts, worked out in blocks of about BLOCK bytes or one text."""
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([len(r) for r in raw])
+        parts, low = [], 0
+        while low < len(raw):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + BLOCK)))
+            at = np.concatenate(([0], np.cumsum([len(r) for r in raw[low:high]]))).astype(np.int64)
+            part = cls(np.frombuffer(b"".join(raw[low:high]), np.uint8), at)
+            part.doc, part.which = (part.doc + low).astype(np.int32), part.which.astype(np.int32)
+            parts.append(part)
+            low = high
+        out = cls(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        if not parts:
+            return out
+        out.doc = np.concatenate([p.doc for p in parts])
+        out.word, first, number = np.unique(np.concatenate([p.word for p in parts]), return_index=True, return_inverse=True)
+        base = np.cumsum([0, *(len(p.word) for p in parts)])
+        out.which = np.concatenate([number[b + p.which] for b, p in zip(base, parts)]).astype(np.int32)
+        owner, gram = np.concatenate([p.owner + b for b, p in zip(base, parts)]), np.concatenate([p.gram for p in parts])
+        cuts = np.searchsorted(owner, first), np.searchsorted(owner, first, "right")
+        count = cuts[1] - cuts[0]
+        out.owner = np.repeat(np.arange(len(first)), count)
+        out.gram = gram[np.repeat(cuts[0], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        return out
+
 
 def _places(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """1 + the place in a sorted table, 0 for what isn't there."""
@@ -186,21 +215,27 @@ def _index(words: Words, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
     place = first[:, None] + np.arange(WINDOW)
     safe = np.minimum(place, max(len(words.doc) - 1, 0))
     if not len(words.doc):
-        return np.full((0, WINDOW), -1)
+        return np.full((0, WINDOW), -1, np.int32)
     good = (place < len(words.doc)) & (words.doc[safe] == owner[:, None])
-    return np.where(good, words.which[safe], -1)
+    return np.where(good, words.which[safe], -1).astype(np.int32)
 
 
-def _frequent(pairs_doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, value): values that occur in LEAST documents or more, and all pairs' documents and places (0: rare)."""
-    order = np.lexsort((pairs_doc, values))
-    d, v = pairs_doc[order], values[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    d, v = d[new], v[new]
-    table, count = np.unique(v, return_counts=True)
-    table = table[count >= LEAST]
-    return table, d, _places(table, v)
+def _document_counts(words: Words, chosen: np.ndarray, label: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """In how many chosen documents, toxic and others, each distinct word and each distinct gram occurs; the grams, and the gram numbers of ``words.gram``."""
+    table, code = np.unique(words.gram, return_inverse=True)
+    cuts = np.searchsorted(words.owner, np.arange(len(words.word) + 1))
+    by_word, by_gram = np.zeros((2, len(words.word))), np.zeros((2, len(table)))
+    bounds = np.searchsorted(words.doc, np.arange(0, len(label) + BLOCK_DOCS, BLOCK_DOCS))
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        mine = low + np.flatnonzero(chosen[words.doc[low:high]])
+        doc, word = np.divmod(np.unique(words.doc[mine].astype(np.int64) * len(words.word) + words.which[mine]), max(len(words.word), 1))
+        count = np.diff(cuts)[word]
+        gram = code[np.repeat(cuts[word], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        gram_doc, gram = np.divmod(np.unique(np.repeat(doc, count) * len(table) + gram), max(len(table), 1))
+        for held, docs, values in ((by_word, doc, word), (by_gram, gram_doc, gram)):
+            held[0] += np.bincount(values, label[docs], held.shape[1])
+            held[1] += np.bincount(values, 1 - label[docs], held.shape[1])
+    return by_word, by_gram, table, code
 
 
 def fit(rows: list[tuple[str, int]]) -> Network:
@@ -213,38 +248,29 @@ def fit(rows: list[tuple[str, int]]) -> Network:
     """
     random = np.random.default_rng(SEED)
     label = np.array([t for _, t in rows], np.float32)
-    raw = [t.encode() for t, _ in rows]
-    at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    words = Words(np.frombuffer(b"".join(raw), np.uint8), at)
+    words = Words.joined([t for t, _ in rows])
     aside = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
-    pairs = np.unique(np.stack([words.doc, words.which], axis=1), axis=0) if len(words.doc) else np.zeros((0, 2), np.int64)
-    pairs = pairs[~aside[pairs[:, 0]]] if len(pairs) else pairs
-    word_table, word_doc, word_place = _frequent(pairs[:, 0], words.word[pairs[:, 1]])
-    cuts = np.searchsorted(words.owner, np.arange(len(words.word) + 1))
-    count = np.diff(cuts)[pairs[:, 1]]
-    grams = np.repeat(cuts[pairs[:, 1]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    gram_table, gram_doc, gram_place = _frequent(np.repeat(pairs[:, 0], count), words.gram[grams])
+    by_word, by_gram, grams, code = _document_counts(words, ~aside, label)
+    often_word, often_gram = by_word.sum(axis=0) >= LEAST, by_gram.sum(axis=0) >= LEAST
+    word_table, gram_table = words.word[often_word], grams[often_gram]
     net = Network(word_table, gram_table, random)
     if not len(words.doc) or label.min() == label.max():
         net.shift = 0.0 if not len(rows) else (4.0 if label.min() else -4.0)
         net.slope = 0.0
         return net
 
-    def lift(docs: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-        """How far each input is more frequent in toxic documents, in standard errors."""
-        toxic = np.bincount(places, label[docs], size + 1)
-        clean = np.bincount(places, 1 - label[docs], size + 1)
-        p, q = toxic / max(label[~aside].sum(), 1), clean / max((1 - label[~aside]).sum(), 1)
-        out = (p - q) / np.sqrt((p + q + 1e-6) * (1 / max(label.sum(), 1) + 1 / max((1 - label).sum(), 1)))
-        out[0] = 0
-        return out
+    def lift(counts: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """How far each frequent input is more frequent in toxic documents, in standard errors; 0 for rare ones."""
+        p, q = counts[0] / max(label[~aside].sum(), 1), counts[1] / max((1 - label[~aside]).sum(), 1)
+        return np.where(often, (p - q) / np.sqrt((p + q + 1e-6) * (1 / max(label.sum(), 1) + 1 / max((1 - label).sum(), 1))), 0.0)
 
-    word, gram, _ = net.inputs(words)
-    by_gram = lift(gram_doc, gram_place, len(gram_table))[gram]
-    value = np.maximum(lift(word_doc, word_place, len(word_table))[word], 0.7 * np.maximum.reduceat(by_gram, cuts[:-1]))
+    cuts = np.searchsorted(words.owner, np.arange(len(words.word)))
+    value = np.maximum(lift(by_word, often_word), 0.7 * np.maximum.reduceat(lift(by_gram, often_gram)[code], cuts))
+    del by_word, by_gram, grams, code
     first, owner = windows_of(words.doc, len(rows))
-    index = _index(words, first, owner)
-    typical = np.where(index >= 0, value[np.maximum(index, 0)], -9.0).max(axis=1)
+    spans = range(0, len(first), BLOCK_WINDOWS)
+    index = np.concatenate([_index(words, first[k : k + BLOCK_WINDOWS], owner[k : k + BLOCK_WINDOWS]) for k in spans])
+    typical = np.concatenate([np.where(index[k : k + BLOCK_WINDOWS] >= 0, value[np.maximum(index[k : k + BLOCK_WINDOWS], 0)], -9.0).max(axis=1) for k in spans])
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.p.items()}
     step = 0
     # small tables get more passes, so that the descent has steps enough
@@ -252,7 +278,7 @@ def fit(rows: list[tuple[str, int]]) -> Network:
     for epoch in range(epochs):
         if epoch in (3 * epochs // 8, 5 * epochs // 8):
             vectors = net.vectors(words)
-            typical = np.concatenate([net.logits(vectors, index[k : k + 4096]) for k in range(0, len(index), 4096)])
+            typical = np.concatenate([net.logits(vectors, index[k : k + BLOCK_WINDOWS]) for k in spans])
         order = np.lexsort((-typical, owner))
         best = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))]
         best = best[~aside[owner[best]]]
@@ -281,7 +307,8 @@ def fit(rows: list[tuple[str, int]]) -> Network:
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad**2 - v)
                 net.p[k] -= RATE * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-    logit, owner, _ = net.scores(words, len(rows))
+    vectors = net.vectors(words)
+    logit = np.concatenate([net.logits(vectors, index[k : k + BLOCK_WINDOWS]) for k in spans])
     top = np.full(len(rows), -np.inf)
     np.maximum.at(top, owner, logit)
     use = np.isfinite(top) & (aside if aside.any() else True)
