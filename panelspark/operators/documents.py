@@ -184,15 +184,14 @@ def exact_facts(rows: DataFrame) -> DataFrame:
     """
     first = F.min_by(F.struct(F.col(DOC).alias("first_doc"), "fact_no", "fact"), F.struct("date", DOC, "fact_no"))
     out = rows.groupBy(KEY, "normalized").agg(F.count(F.lit(1)).alias("occurrences"), first.alias("_f"))
-    too_long = F.raise_error(F.lit("document with over a million facts")).cast("bigint")
-    place = F.when(F.col("_f.fact_no") < 1 << 20, F.shiftleft("_f.first_doc", 20) + F.col("_f.fact_no")).otherwise(too_long)
+    place = F.concat(F.col("_f.first_doc").cast("string"), F.lit(":"), F.col("_f.fact_no").cast("string"))
     return out.select(KEY, "normalized", "occurrences", "_f.first_doc", "_f.fact", place.alias("fact_id"))
 
 
 def fact_components(unique: DataFrame, threshold: float = 0.90, min_ratio: float = 0.75, **how) -> DataFrame:
     """(series, normalized, component): facts that are near copies of each other share a component."""
     items = cut(unique.select(KEY, "fact_id", "normalized", F.length("normalized").alias("_size")))
-    weights = ngram_weights(items, KEY, "fact_id", "normalized", lo=3, hi=5, max_features=25_000)
+    weights = ngram_weights(items, KEY, "fact_id", "normalized", lo=3, hi=5)
     found = similar_components(items, weights, KEY, "fact_id", threshold=threshold, size="_size", min_ratio=min_ratio, **how)
     return items.select(KEY, "fact_id", "normalized").join(found, [KEY, "fact_id"]).drop("fact_id")
 

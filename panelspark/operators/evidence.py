@@ -210,7 +210,7 @@ def domain_edges(items: DataFrame) -> DataFrame:
     lw = cut(ngram_weights(labels, KEY, "norm", "norm", lo=lo, hi=hi, copies="copies").filter(F.col("norm") != "unknown"))
     # below this label similarity even equal contexts cannot reach the threshold
     least = (SIMILARITY - CONTEXT_WEIGHT) / LABEL_WEIGHT
-    near = similar_edges(known.select(KEY, "norm").distinct(), lw, KEY, "norm", threshold=least, hot=1 << 40)
+    near = similar_edges(known.select(KEY, "norm").distinct(), lw, KEY, "norm", threshold=least)
     a = known.select(KEY, F.col("norm").alias("a"), F.col("ord").alias("oa"), F.col("parent").alias("pa"), F.col("concepts").alias("ca"))
     b = known.select(KEY, F.col("norm").alias("b"), F.col("ord").alias("ob"), F.col("parent").alias("pb"), F.col("concepts").alias("cb"))
     pairs = near.withColumnRenamed("cosine", "label_sim").join(a, [KEY, "a"]).join(b, [KEY, "b"])

@@ -148,7 +148,7 @@ def ar_ols(parts: DataFrame, spec: SplitSpec, p: int = 2, d: int = 1, seasonal_p
         y = list(row.tail)
         out = []
         for _ in range(horizon):
-            z = [float(np.dot(poly, [y[-1 - k - j] for j in range(len(poly))])) for k in range(max(lags))]
+            z = [float(np.dot(poly, [y[-1 - k - j] for j in range(len(poly))])) for k in range(max(lags, default=0))]
             step = beta[0] + sum(b * z[k - 1] for b, k in zip(beta[1:], lags))
             value = step - sum(c * y[-k] for k, c in enumerate(poly[1:], start=1))
             y.append(value)

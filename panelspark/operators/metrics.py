@@ -13,18 +13,28 @@ KEY = "series_id"
 
 
 def metric_columns(y: str = "y", yhat: str = "yhat", eps: float = 1e-8) -> dict[str, Column]:
-    """Aggregates for mse, rmse, mae, r2 and mape of a group of predictions."""
+    """Aggregates for mse, rmse, mae, r2 and mape of a group of predictions.
+
+    A group with a missing or non-finite prediction has no metrics: a model can't score by leaving hard rows out.
+    """
     err = F.col(y) - F.col(yhat)
     mse = F.avg(err * err)
     total = F.var_pop(y)
     perfect = F.when(mse == 0, 1.0).otherwise(0.0)
-    return {
+    metrics = {
         "mse": mse,
         "rmse": F.sqrt(mse),
         "mae": F.avg(F.abs(err)),
         "r2": F.when(total > 0, 1.0 - mse / total).otherwise(perfect),
         "mape": F.avg(F.abs(err / F.greatest(F.abs(F.col(y)), F.lit(eps)))),
     }
+    return {name: F.when(missing_forecasts(yhat) == 0, value) for name, value in metrics.items()}
+
+
+def missing_forecasts(yhat: str = "yhat") -> Column:
+    """How many predictions of a group are null, NaN or infinite."""
+    value = F.col(yhat).cast("double")
+    return F.count_if(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")))
 
 
 def mase_scale(train: DataFrame, period: int | str = 1) -> DataFrame:
@@ -81,7 +91,8 @@ def scaled_test_metrics(predictions: DataFrame, train: DataFrame) -> DataFrame:
     limits = train.groupBy(KEY).agg(F.min("target").alias("_lo"), F.max("target").alias("_hi"))
     # the errors scale linearly, so the limits join the aggregates and not the rows
     err = F.col("y") - F.col("yhat")
-    sums = predictions.groupBy(KEY).agg(F.avg(err * err).alias("_mse"), F.avg(F.abs(err)).alias("_mae"))
+    complete = missing_forecasts() == 0
+    sums = predictions.groupBy(KEY).agg(F.when(complete, F.avg(err * err)).alias("_mse"), F.when(complete, F.avg(F.abs(err))).alias("_mae"))
     span = F.col("_hi") - F.col("_lo")
     span = F.when(span > 0, span)
     return sums.join(limits, KEY).select(
@@ -93,8 +104,9 @@ def scaled_test_metrics(predictions: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def per_origin(predictions: DataFrame, scale: DataFrame) -> DataFrame:
-    """MAE and MASE of every forecast origin."""
-    got = predictions.groupBy(KEY, "origin").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
+    """MAE and MASE of every forecast origin; null where a prediction of the origin is missing."""
+    error = F.avg(F.abs(F.col("y") - F.col("yhat")))
+    got = predictions.groupBy(KEY, "origin").agg(F.when(missing_forecasts() == 0, error).alias("mae"))
     return got.join(scale.select(KEY, "scale"), KEY, "left").withColumn("mase", F.col("mae") / F.col("scale")).drop("scale")
 
 

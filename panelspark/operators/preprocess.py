@@ -101,7 +101,8 @@ def _likelihoods(rows: DataFrame, candidates: Sequence[Column], tags: Sequence[s
     logs, n = F.sum(F.log(x)), F.count(F.lit(1))
     aggs = []
     for lam, tag in zip(candidates, tags):
-        z = F.when(F.abs(lam) < TINY, F.log(x)).otherwise((F.pow(x, lam) - 1.0) / lam)
+        # the constant -1 / power doesn't change the variance, and would swallow it for large powers
+        z = F.when(F.abs(lam) < TINY, F.log(x)).otherwise(F.pow(x, lam) / lam)
         aggs.append(((F.first(lam) - 1.0) * logs - n / 2.0 * F.log(F.var_pop(z))).alias(tag))
     return rows.groupBy(KEY, "shift").agg(*aggs)
 
@@ -122,20 +123,46 @@ def boxcox_grid(train: DataFrame, powers: Sequence[float]) -> DataFrame:
 
 
 def fit_boxcox(train: DataFrame, rounds: int = 3) -> DataFrame:
-    """(series, shift, power): the most likely power in [-2, 2], narrowed tenfold per round."""
+    """(series, shift, power): the most likely power, narrowed tenfold per round.
+
+    The search starts at [-2, 2].  A series whose best power lies on the edge of what was searched is
+    searched further out, in spans that double, until its maximum is inside or its likelihood can't be
+    computed any more (a constant series, or powers beyond the range of doubles).
+    """
     step = 0.1
-    grid = boxcox_grid(train, [round(-2 + step * i, 10) for i in range(41)])
-    best = lambda df: df.groupBy(KEY, "shift").agg(F.max_by("power", F.struct(F.round("likelihood", 9), -F.abs("power"))).alias("power"))
-    fitted = cut(best(grid))
-    for _ in range(rounds):
-        step /= 10.0
-        rows = attach(train, fitted, KEY, "pos")
-        offsets = [i * step for i in range(-10, 11)]
+    # a null sorts below every likelihood, so without any likelihood the power nearest to zero is taken
+    known = F.when(~F.isnan("likelihood") & (F.abs("likelihood") != float("inf")), F.round("likelihood", 9))
+    best = lambda df: df.groupBy(KEY, "shift").agg(F.max_by("power", F.struct(known, -F.abs("power"))).alias("power"))
+
+    def around(rows: DataFrame, centres: DataFrame, offsets: Sequence[float]) -> DataFrame:
+        """Likelihoods at ``power + offset`` of every series in ``centres``."""
+        near = attach(rows.join(centres.select(KEY), KEY, "left_semi"), centres, KEY, "pos")
         tags = [f"l{i}" for i in range(len(offsets))]
-        wide = _likelihoods(rows, [F.col("power") + o for o in offsets], tags).join(fitted.select(KEY, "power"), KEY)
+        wide = _likelihoods(near, [F.col("power") + o for o in offsets], tags).join(centres.select(KEY, "power"), KEY)
         entries = F.array(*[F.struct((F.col("power") + o).alias("power"), F.col(t).alias("likelihood")) for o, t in zip(offsets, tags)])
-        fitted = cut(best(wide.select(KEY, "shift", F.explode(entries).alias("e")).select(KEY, "shift", "e.*")))
-    return fitted
+        return wide.select(KEY, "shift", F.explode(entries).alias("e")).select(KEY, "shift", "e.*")
+
+    start = best(boxcox_grid(train, [round(-2 + step * i, 10) for i in range(41)]))
+    fitted, edge, span = cut(start.withColumn("step", F.lit(step))), 2.0, 2.0
+    while True:
+        outer = fitted.filter(F.abs("power") >= edge - 1e-9)
+        if outer.isEmpty():
+            break
+        outward = span / 20.0
+        further = around(train, outer.select(KEY, "shift", "power"), [i * outward for i in range(-20, 21)])
+        moved = best(further).withColumn("step", F.lit(outward))
+        fitted = cut(fitted.join(moved.select(KEY), KEY, "left_anti").unionByName(moved))
+        edge, span = edge + span, span * 2.0
+    for _ in range(rounds):
+        near = [(i, o) for i, o in enumerate(range(-10, 11))]
+        rows = attach(train, fitted, KEY, "pos")
+        tags = [f"l{i}" for i, _ in near]
+        at = lambda o: F.col("power") + F.col("step") * (o / 10.0)
+        wide = _likelihoods(rows, [at(o) for _, o in near], tags).join(fitted.select(KEY, "power", "step"), KEY)
+        entries = F.array(*[F.struct(at(o).alias("power"), F.col(t).alias("likelihood")) for (_, o), t in zip(near, tags)])
+        found = best(wide.select(KEY, "shift", F.explode(entries).alias("e")).select(KEY, "shift", "e.*"))
+        fitted = cut(found.join(fitted.select(KEY, (F.col("step") / 10.0).alias("step")), KEY))
+    return fitted.drop("step")
 
 
 # ---------------------------------------------------------------- chains

@@ -208,3 +208,59 @@ def test_every_validation_row_is_forecast_once(parts):
     got = K.seasonal_naive(parts, SPEC, 12)
     problems = K.alignment(J.search_rows(parts).filter("split = 'validation'"), got).collect()
     assert all(r.missing == r.surplus == r.repeated == 0 for r in problems)
+
+
+def test_incomplete_forecasts_have_no_metrics_and_never_win(spark):
+    from panelspark.operators.metrics import forecast_metrics, per_origin, winner
+
+    nan, inf = float("nan"), float("inf")
+    cases = {"whole": [1.5, 2.5, 90.0], "null": [1.1, None, None], "nan": [1.0, 2.0, nan], "infinite": [1.0, inf, 100.0]}
+    rows = [(m, 0, s, y, v) for m, values in cases.items() for s, (y, v) in enumerate(zip([1.0, 2.0, 100.0], values), start=1)]
+    predictions = spark.createDataFrame(rows, "series_id string, origin long, step long, y double, yhat double")
+    scale = spark.createDataFrame([(m, 2.0) for m in cases], "series_id string, scale double")
+    scored = {r.series_id: r for r in forecast_metrics(predictions, scale).collect()}
+    assert scored["whole"].mae == pytest.approx(11.0 / 3) and scored["whole"].mase == pytest.approx(11.0 / 6)
+    for m in ("null", "nan", "infinite"):
+        assert scored[m].n_predictions == 3
+        assert all(getattr(scored[m], c) is None for c in ("mse", "rmse", "mae", "r2", "mape", "mase"))
+    assert {r.series_id: r.mase is None for r in per_origin(predictions, scale).collect()} == {m: m != "whole" for m in cases}
+    trials = spark.createDataFrame([("run", k, m, scored[m].mase) for k, m in enumerate(cases)], "run_id string, step long, model string, mase double")
+    assert winner(trials).first().best_model == "whole"
+
+
+def test_boxcox_power_is_found_beyond_two(spark):
+    from panelspark.operators.preprocess import fit_boxcox
+
+    rng = np.random.default_rng(3)
+    powered = {"far": 3.7, "near": 0.5, "below": -3.0}
+    rows = []
+    for name, power in powered.items():
+        normal = 30.0 + rng.normal(size=4000) if power > 0 else 0.2 + 0.01 * rng.normal(size=4000)
+        rows += [(name, i, float(v ** (1.0 / power))) for i, v in enumerate(normal * (40.0 if name == "far" else 1.0))]
+    rows += [("constant", i, 5.0) for i in range(40)]
+    found = {r.series_id: r.power for r in fit_boxcox(spark.createDataFrame(rows, "series_id string, pos long, target double")).collect()}
+    assert found["constant"] == 0.0
+
+    def likelihood(x, power):
+        z = np.log(x) if abs(power) < 1e-12 else x**power / power
+        return (power - 1.0) * np.log(x).sum() - len(x) / 2.0 * np.log(z.var())
+
+    for name in powered:
+        x = np.array([v for key, _, v in rows if key == name])
+        grid = np.arange(-15.0, 15.0, 0.01)
+        best = max(grid, key=lambda p: likelihood(x, p))
+        assert found[name] == pytest.approx(best, abs=0.02)
+
+
+def test_autoregression_without_lags_is_a_drift(spark):
+    from panelspark.operators.forecast import ar_ols
+    from panelspark.operators.split import SplitSpec, chronological
+
+    days = [("s", f"20{20 + i // 12:02d}-{i % 12 + 1:02d}-01", float(i * i % 17)) for i in range(120)]
+    panel = spark.createDataFrame(days, "series_id string, date string, target double").selectExpr("series_id", "to_date(date) AS date", "target")
+    spec = SplitSpec(0.7, 0.2, 0.1, 3)
+    got = ar_ols(chronological(panel, spec), spec, p=0, d=1).orderBy("pos").collect()
+    y = [v for _, _, v in days]
+    for r in got:
+        drift = (y[r.origin - 1] - y[0]) / (r.origin - 1)
+        assert r.yhat == pytest.approx(y[r.origin - 1] + r.step * drift, abs=1e-5)
