@@ -7,17 +7,27 @@ pre-tokenizer joins anything across it.  So the ids of a text are those of its p
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .blocks import remembered
 
-#: Pieces that a worker remembers; beyond it the memory starts afresh (a cache: results don't depend on it).
-REMEMBERED = 400_000
+#: Pieces that a worker gathers before it sets the oldest aside (a cache: results don't depend on it).
+REMEMBERED = 300_000
 CROWDED = re.compile(r" (?=\s)"), re.compile(r"[^\S ] ")
+WORD = re.compile(" [^ ]*")
 CUT = re.compile(r"(?<=\S)(?= \S)")
-#: One run of letters, then at most one mark: the letters are one pre-token (with the blank before them, if the tokenizer keeps it).
-SIMPLE = re.compile(r"([A-Za-zäöüßáéíóúñàâçèêëîïôû]+)([.,]?)")
+#: Pieces of Latin letters, ASCII marks without the apostrophe, and single line ends: each run of letters, with the
+#: blank before it, and each run of marks is one pre-token; pre-tokenizers only look ahead, so runs are encoded apart.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+SIMPLE = re.compile(rf" ?[{LETTERS}]+[{MARKS}]*(?:\n[{LETTERS}]+[{MARKS}]*)*")
+RUN = re.compile(rf" ?[{LETTERS}]+")
+RUNS = re.compile(rf" ?[{LETTERS}]+|[{MARKS}]+|\n")
+#: Pieces that one call of the tokenizer gets, and bytes of text that should be encoded together.
+CALL, STEP = 4096, 4 << 20
 
 
 class Encoder:
@@ -28,67 +38,114 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.lowers = self.tokenizer.normalizer is not None
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}  # how byte-level models spell the other bytes
-        self.marks = {m: self._bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ("", ".", ",")}
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens, self.closes = (np.zeros(max(names.values()) + 1, bool) for _ in range(2))
+        blank = self.encode([" a"])[0]
+        for name, number in names.items():
+            self.opens[number] = name.startswith("Ġ")  # how byte-level models spell a blank
+            self.closes[number] = bool(self.suffix) and name.endswith(self.suffix)
+        self.lead = "" if blank == self.encode(["a"])[0] else " "  # a tokenizer that drops white space needs none
+        self.line_end = self.encode(["\n"])[0]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         return remembered(f"encoder {path}", lambda: cls(path))
 
+    def encode(self, pieces: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def __call__(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Token ids of every text, unsigned 32-bit."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        values = column.to_pylist()
+        even = np.array([self._even(t) for t in values], bool)
+        odd = {k: CUT.split(values[k]) for k in np.flatnonzero(~even).tolist()}
+        split = pc.split_pattern(column.filter(pa.array(even)), " ")
+        words, at = split.flatten(), np.asarray(split.offsets, np.int64)
+        coded = words.dictionary_encode()
+        units = self._listed(coded.dictionary)
+        unit = np.array(coded.indices, np.int64)
+        unit[at[:-1]] = len(units) + np.arange(len(at) - 1)  # nothing stands before the first word of a text
+        units += words.take(pa.array(at[:-1])).to_pylist()
+        self._remember(set(chain(units, *odd.values())))
+        ids, bounds = self._gather([self.known[u] for u in units], unit, at)
+        rows = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, odd[k])), "<u4") if k in odd else ids[slice(*next(rows))] for k in range(len(values))]
+
+    @staticmethod
+    def _even(text: str) -> bool:
+        """Whether every space of the text is a single one between two characters that aren't white space."""
+        return bool(text) and not text[0].isspace() and text[-1] != " " and not any(c.search(text) for c in CROWDED)
+
+    def _listed(self, words: pa.Array) -> list[str]:
+        """Words without spaces as a list, the blank before each if the tokenizer keeps it; one conversion for all."""
+        whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        joined = pc.binary_join(whole, " ")[0].as_py()
+        if not len(words):
+            return []
+        return WORD.findall(" " + joined) if self.lead else joined.split(" ")
+
     @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, known: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        """Adds the ids of ``lead`` and each piece; a run of letters goes to the model as the one pre-token that it is."""
-        others = []
-        front = "" if self.lowers else lead  # the lower-casing tokenizer drops white space
-        for piece in pieces:
-            found = SIMPLE.fullmatch(piece)
+    def _gather(bodies: list[bytes], unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units in a row, and where those of each text start and end."""
+        pool = np.frombuffer(b"".join(bodies), "<u4")
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        counts = sizes[unit]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        places = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[unit] - ends[:-1], counts)
+        return pool[places], ends[at]
+
+    def _remember(self, pieces: set[str]) -> None:
+        """Makes the ids of all pieces known."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = []
+        for piece in pieces.difference(self.known):
+            found = self.older.get(piece)
             if found is None:
+                new.append(piece)
+            else:
+                self.known[piece] = found
+        made, runs, others = {}, set(), []
+        for piece in new:
+            if RUN.fullmatch(piece):
+                runs.add(piece)
+            elif SIMPLE.fullmatch(piece):
+                made[piece] = parts = RUNS.findall(piece)
+                runs.update(parts)
+            else:
                 others.append(piece)
+        runs.difference_update(self.known)
+        letters = [r for r in runs if r[-1].isalpha()]
+        others += [r for r in runs if not r[-1].isalpha()]
+        others += self._learn_runs([r for r in letters if r[0] == " "], "") + self._learn_runs([r for r in letters if r[0] != " "], "\n")
+        for low in range(0, len(others), CALL):
+            part = others[low : low + CALL]
+            self.known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(part, self.encode(part)))
+        for piece, parts in made.items():
+            self.known[piece] = b"".join(map(self.known.__getitem__, parts))
+
+    def _learn_runs(self, runs: list[str], between: str) -> list[str]:
+        """Learns runs of letters from one text for many, told apart by what opens or closes a word; returns those it couldn't tell apart."""
+        missed = []
+        for low in range(0, len(runs), CALL):
+            part = runs[low : low + CALL]
+            ids = np.array(self.encode([between.join(part)])[0], "<u4")
+            if self.suffix:
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                starts = np.concatenate(([0], ends[:-1]))
+            elif between:
+                gaps = np.flatnonzero(ids == self.line_end[0]) if len(self.line_end) == 1 else np.zeros(0, np.int64)
+                starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(ids)]))
+            else:
+                starts = np.flatnonzero(self.opens[ids])
+                ends = np.concatenate((starts[1:], [len(ids)]))
+            if len(starts) != len(part):
+                missed += part
                 continue
-            word = front + (found[1].lower() if self.lowers else found[1])
-            spelt = word.encode().decode("latin-1").translate(self.letters)
-            known[piece] = self._bytes([t.id for t in self.model.tokenize(spelt)]) + self.marks[found[2]]
-        for low in range(0, len(others), 4096):
-            part = others[low : low + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
-                known[piece] = self._bytes(found.ids)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of every text, unsigned 32-bit."""
-        if len(self.spaced) > REMEMBERED:
-            self.spaced = {}
-        if len(self.plain) > REMEMBERED:
-            self.plain = {}
-        cut = [self._cut(t) for t in texts]
-        found = [self._known(*c) for c in cut]
-        late = [k for k, ids in enumerate(found) if ids is None]
-        if late:
-            self._learn(self.plain, list({p for k in late for p in cut[k][0]}.difference(self.plain)), "")
-            self._learn(self.spaced, list({p for k in late for p in cut[k][1]}.difference(self.spaced)), " ")
-            for k in late:
-                found[k] = self._known(*cut[k])
-        return found
-
-    @staticmethod
-    def _cut(text: str) -> tuple[list[str], list[str]]:
-        """Pieces as they are, then pieces that a single space stands before."""
-        if not text or text[0].isspace() or text[-1] == " " or any(c.search(text) for c in CROWDED):
-            return CUT.split(text), []
-        parts = text.split(" ")
-        return parts[:1], parts[1:]
-
-    def _known(self, plain: list[str], spaced: list[str]) -> np.ndarray | None:
-        """Ids of remembered pieces in a row, None if one isn't remembered."""
-        try:
-            return np.frombuffer(b"".join([*map(self.plain.__getitem__, plain), *map(self.spaced.__getitem__, spaced)]), "<u4")
-        except KeyError:
-            return None
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+        return missed

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import U64, mix, part_count, steps, texts
-from .encode import Encoder
+from .encode import STEP, Encoder
 from .storage import written
 
 END_ID = 1
@@ -153,8 +153,8 @@ def write_grammars(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_
             image = to_file(held_docs, held, base)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block]), pa.array([start]), pa.array([n]), pa.array([image], pa.binary())], names=["part", "block", "part_start", "n_ids", "content"])
 
-        for batch in steps(batches):
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+        for batch in steps(batches, limit=STEP):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 held_docs.append(doc)
                 held.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
                 n += len(ids) + 1

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import steps, texts
-from .encode import Encoder
+from .encode import STEP, Encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -32,9 +32,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(tokenizer)
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP):
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 ids = np.append(ids, np.array([end_id], "<u4")).astype("<u4")
                 first = len(ids) if len(ids) <= capacity else len(ids) % capacity or capacity
                 for k, (low, high) in enumerate(zip([0, *range(first, len(ids), capacity)], [*range(first, len(ids), capacity), len(ids)])):
