@@ -11,18 +11,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; only where none is named
-    (tests on one machine) a folder is made.
+    and Spark runs in this process alone (tests) a folder is made.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: the one named in ``spark.checkpoint.dir``, else one made for tests."""
+    """The folder all executors reach: the one named in ``spark.checkpoint.dir``, else one made for tests; a cluster must name it."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelspark-checkpoint-"))
+        if not named:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+            named = tempfile.mkdtemp(prefix="panelspark-checkpoint-")
+        context.setCheckpointDir(named)
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
