@@ -238,13 +238,36 @@ def _document_counts(words: Words, chosen: np.ndarray, label: np.ndarray) -> tup
     return by_word, by_gram, table, code
 
 
-def fit(rows: list[tuple[str, int]]) -> Network:
-    """A network fitted to (text, toxic) rows.
+def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic regression of ``y`` on one number, each row counted ``weight`` times; both slightly drawn to 1 and 0."""
+    weight = weight / weight.sum()
+    inputs, start = np.stack((x, np.ones_like(x)), axis=1).astype(np.float64), np.array([1.0, 0.0])
+    at = start.copy()
+
+    def loss(point: np.ndarray) -> float:
+        z = inputs @ point
+        return float(weight @ (np.logaddexp(0, z) - y * z) + 5e-4 * ((point - start) ** 2).sum())
+
+    for _ in range(100):  # Newton's steps, halved until they gain
+        p = _sigmoid(inputs @ at)
+        gradient = inputs.T @ (weight * (p - y)) + 1e-3 * (at - start)
+        move = np.linalg.solve((inputs * (weight * p * (1 - p))[:, None]).T @ inputs + 1e-3 * np.eye(2), gradient)
+        now = loss(at)
+        while loss(at - move) > now and np.abs(move).max() > 1e-9:
+            move = move / 2
+        at = at - move
+        if np.abs(move).max() <= 1e-9:
+            break
+    return float(at[0]), float(at[1])
+
+
+def fit(rows: list[tuple[str, int]], clean: float = 1.0, toxic: float = 1.0) -> Network:
+    """A network fitted to (text, toxic) rows, each of which stands for ``clean`` or ``toxic`` labelled documents.
 
     A document's label says only that some window is toxic.  The fit starts from the windows whose
     words and character grams are most typical of toxic documents, then takes each document's
     highest-scoring window by the network itself.  A fifth of the rows is kept from the descent and
-    calibrates the score of the highest window.
+    calibrates the score of the highest window, each row with the number it stands for.
     """
     random = np.random.default_rng(SEED)
     label = np.array([t for _, t in rows], np.float32)
@@ -282,8 +305,8 @@ def fit(rows: list[tuple[str, int]]) -> Network:
         order = np.lexsort((-typical, owner))
         best = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))]
         best = best[~aside[owner[best]]]
-        clean = np.flatnonzero((label[owner] == 0) & ~aside[owner])
-        other = random.choice(clean, min(len(clean), len(best)), replace=False)
+        harmless = np.flatnonzero((label[owner] == 0) & ~aside[owner])
+        other = random.choice(harmless, min(len(harmless), len(best)), replace=False)
         chosen = np.concatenate((best, other))
         random.shuffle(chosen)
         for low in range(0, len(chosen), BATCH):
@@ -313,11 +336,7 @@ def fit(rows: list[tuple[str, int]]) -> Network:
     np.maximum.at(top, owner, logit)
     use = np.isfinite(top) & (aside if aside.any() else True)
     x, y = top[use], label[use]
-    slope, shift = 1.0, 0.0
-    for _ in range(300):  # logistic regression on one number
-        error = _sigmoid(slope * x + shift) - y
-        slope -= 0.5 * ((error * x).mean() + 1e-3 * (slope - 1)) / max((x**2).mean(), 1)
-        shift -= 2.0 * (error.mean() + 1e-3 * shift)
+    slope, shift = calibrated(x, y, np.where(y > 0, toxic, clean))
     net.slope, net.shift = max(slope, 0.05), shift
     return net
 
@@ -337,16 +356,18 @@ def fold_of(doc_id, folds: int = FOLDS):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT) -> pd.DataFrame:
-    """At most FIT_TOXIC and FIT_CLEAN labelled documents outside the held-out fold."""
+def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT) -> tuple[pd.DataFrame, float, float]:
+    """At most FIT_TOXIC and FIT_CLEAN labelled documents outside the held-out fold, and for how many labelled ones a clean and a toxic one stand."""
     marked = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{toxic}`").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     marked = marked.filter(fold_of(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each_clean, each_toxic = (max(1.0, total.get(k, 0) / most) for k, most in ((0, FIT_CLEAN), (1, FIT_TOXIC)))
     rank = F.xxhash64("doc_id")
     some = marked.filter("toxic = 1").orderBy(rank, "doc_id").limit(FIT_TOXIC).unionByName(marked.filter("toxic = 0").orderBy(rank, "doc_id").limit(FIT_CLEAN))
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     # at most FIT_TOXIC + FIT_CLEAN ids
     rows = named.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    return rows.toPandas().sort_values("doc_id")
+    return rows.toPandas().sort_values("doc_id"), each_clean, each_toxic
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
@@ -358,8 +379,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     repeated rows get equal scores; null labels are left out; without usable labels every text with
     words scores 0.5; an empty table gives no rows.
     """
-    sample = fit_sample(docs, labels, doc_id, text, toxic, folds, held)
-    network = fit(list(zip(sample["text"], sample["toxic"].astype(int))))
+    sample, each_clean, each_toxic = fit_sample(docs, labels, doc_id, text, toxic, folds, held)
+    network = fit(list(zip(sample["text"], sample["toxic"].astype(int))), each_clean, each_toxic)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, limit=STEP):
