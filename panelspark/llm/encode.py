@@ -2,6 +2,8 @@
 
 A text may be cut before a single space between two characters that aren't white space: neither
 pre-tokenizer joins anything across it.  So the ids of a text are those of its pieces in a row.
+The library looks for added tokens before all else and treats what stands between them as texts of
+their own; a text that holds any is cut around them first.
 """
 
 from __future__ import annotations
@@ -31,13 +33,16 @@ CALL, STEP = 4096, 4 << 20
 
 
 class Encoder:
-    """Encodes texts with one tokenizer file; special tokens in a text are ordinary text."""
+    """Encodes texts with one tokenizer file, as the library does by default: an added token in a text has its own id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Names that are found in a text as they stand, the longest first; None if some are found in another way, then texts are encoded whole.
+        self.added = None if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added) else sorted((t.content for t in added), key=len, reverse=True)
+        self.around = re.compile(f"({'|'.join(map(re.escape, self.added))})") if self.added else None
         self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens, self.closes = (np.zeros(max(names.values()) + 1, bool) for _ in range(2))
@@ -61,8 +66,10 @@ class Encoder:
         """Token ids of every text, unsigned 32-bit."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         values = column.to_pylist()
-        even = np.array([self._even(t) for t in values], bool)
-        odd = {k: CUT.split(values[k]) for k in np.flatnonzero(~even).tolist()}
+        if self.added is None:
+            return [np.array(ids, "<u4") for low in range(0, len(values), CALL) for ids in self.encode(values[low : low + CALL])]
+        even = np.array([self._even(t) and not any(name in t for name in self.added) for t in values], bool)
+        odd = {k: [piece for part in self._apart(values[k]) for piece in CUT.split(part)] for k in np.flatnonzero(~even).tolist()}
         split = pc.split_pattern(column.filter(pa.array(even)), " ")
         words, at = split.flatten(), np.asarray(split.offsets, np.int64)
         coded = words.dictionary_encode()
@@ -75,6 +82,10 @@ class Encoder:
         rows = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, odd[k])), "<u4") if k in odd else ids[slice(*next(rows))] for k in range(len(values))]
 
+    def _apart(self, text: str) -> list[str]:
+        """Added tokens of a text and what stands before, between and after them."""
+        return self.around.split(text) if self.around else [text]
+
     @staticmethod
     def _even(text: str) -> bool:
         """Whether every space of the text is a single one between two characters that aren't white space."""
