@@ -55,7 +55,7 @@ def size_table(panel: DataFrame, spec: SplitSpec, key: str = "series_id") -> Dat
 
 
 def chronological(panel: DataFrame, spec: SplitSpec, key: str = "series_id", order: str = "date") -> DataFrame:
-    """Label every row train, validation or test; series that cannot be split are left out.
+    """Label every row train, validation or test; series that cannot be split are left out (``accounted`` names them beside results).
 
     Adds ``pos``, ``n``, the three sizes and ``split``.
     """
@@ -70,6 +70,16 @@ def chronological(panel: DataFrame, spec: SplitSpec, key: str = "series_id", ord
     return rows.filter(rejection(spec).isNull()).withColumn("split", label)
 
 
+def accounted(results: DataFrame, panel: DataFrame, spec: SplitSpec, key: str = "series_id") -> DataFrame:
+    """``results`` with ``rejected``: a series that cannot be split has one row, null but for its key and the reason.
+
+    Series that can be split but have no result get such a row too, without a reason.
+    """
+    sizes = size_table(panel, spec, key).select(F.col(key).alias("_key"), "rejected")
+    found = sizes.join(results, F.col("_key").eqNullSafe(F.col(key)), "left")
+    return found.select(F.col("_key").alias(key), *[c for c in results.columns if c != key], "rejected")
+
+
 def search_rows(parts: DataFrame) -> DataFrame:
     """Rows a search may see: the holdout is not among them."""
     return parts.filter(F.col("split") != "test")

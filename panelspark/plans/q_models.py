@@ -105,10 +105,12 @@ def mase_reference(spark, sf):
 @query("mase_reference_detected")
 def mase_reference_detected(spark, sf):
     """The period found by the diagnostics, carried into the one denominator of each series."""
-    parts = _parts(monthly(spark, sf))
-    found = season_and_lag(monthly(spark, sf), "monthly").select(KEY, "seasonality_detected", "seasonal_periods")
+    panel = monthly(spark, sf)
+    parts = _parts(panel)
+    found = season_and_lag(panel, "monthly").select(KEY, "seasonality_detected", "seasonal_periods")
     sizes = parts.groupBy(KEY).agg(F.max("n_train").alias("n_train"))
-    return rounded(V.mase_reference(parts.filter("split = 'train'"), V.mase_period(found.join(sizes, KEY))), ["scale"])
+    scales = V.mase_reference(parts.filter("split = 'train'"), V.mase_period(found.join(sizes, KEY)))
+    return rounded(J.accounted(scales, panel, SPEC), ["scale"])
 
 
 @query(
@@ -217,13 +219,14 @@ def boxcox_likelihood(spark, sf):
 
 @query("boxcox_round_trip")
 def boxcox_round_trip(spark, sf):
-    parts = _parts(monthly(spark, sf))
+    panel = monthly(spark, sf)
+    parts = _parts(panel)
     train, new = parts.filter("split = 'train'"), parts.filter("split = 'validation'")
     _, log = P.fit(train, [P.Step("boxcox_transform")])
     moved = P.replay(train, new, log).withColumn("yhat", F.col("target"))
     back = P.invert(moved, log).join(new.select(KEY, "pos", F.col("target").alias("raw")), [KEY, "pos"])
     gap = back.groupBy(KEY).agg(F.max(F.abs(F.col("yhat") - F.col("raw")) / F.abs("raw")).alias("relative_gap"))
-    return rounded(gap.join(log[0].numbers, KEY), ["relative_gap", "power"])
+    return rounded(J.accounted(gap.join(log[0].numbers, KEY), panel, SPEC), ["relative_gap", "power"])
 
 
 _ROLL = "CASE WHEN pos >= 3 THEN avg(z) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END"
@@ -251,11 +254,13 @@ def fitted_chain_replay(spark, sf):
 
 @query("fitted_chain_numbers")
 def fitted_chain_numbers(spark, sf):
-    train = train_of(daily(spark, sf))
+    panel = daily(spark, sf)
+    train = train_of(panel)
     steps = [P.Step("replace_outliers"), P.Step("log_transform"), P.Step("lag_features", lags=(1, 7)), P.Step("minmax_scaler"), P.Step("standard_scaler", scope="target")]
     _, log = P.fit(train, steps)
     rows = P.fitted_log(log)
-    return rows.select(KEY, "step_no", "name", F.explode("params").alias("param", "value")).withColumn("value", F.round("value", 6))
+    rows = rows.select(KEY, "step_no", "name", F.explode("params").alias("param", "value")).withColumn("value", F.round("value", 6))
+    return J.accounted(rows, panel, SPEC)
 
 
 @query(
@@ -336,8 +341,11 @@ MODELS = {
 for _name, (_model, _settings) in MODELS.items():
 
     def _run(spark, sf, _name=_name, _model=_model, _settings=_settings):
-        parts = _parts(monthly(spark, sf))
-        return rounded(_scores(L.forecast(_model, parts, SPEC, **_settings), parts, _name), ["mae", "mase"])
+        panel = monthly(spark, sf)
+        parts = _parts(panel)
+        scores = J.accounted(_scores(L.forecast(_model, parts, SPEC, **_settings), parts, _name), panel, SPEC)
+        scores = scores.withColumn("model", F.lit(_name)).withColumn("n_predictions", F.coalesce("n_predictions", F.lit(0).cast("bigint")))
+        return rounded(scores, ["mae", "mase"])
 
     query(f"{_name}_backtest")(_run)
 
