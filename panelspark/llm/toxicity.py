@@ -16,7 +16,7 @@ from .blocks import LOWER, U64, Polynomial, steps, texts, utf8
 FIT_TOXIC, FIT_CLEAN = 2500, 3500
 FOLDS, HELD_OUT = 5, 0
 #: Words of a window and from one window to the next; letters of a character gram; documents of the fit in which an input must occur.
-WINDOW, STRIDE, GRAM, LEAST = 40, 32, 4, 4
+WINDOW, STRIDE, GRAM, LEAST = 40, 20, 4, 4
 #: Sizes of the word and character embeddings, of a direction's state and of the attention.
 WORD_DIM, CHAR_DIM, STATE, ATTEND = 10, 10, 12, 12
 BATCH, EPOCHS, LEAST_STEPS, RATE, SEED = 128, 8, 250, 0.01, 7
@@ -86,7 +86,7 @@ def _places(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def windows_of(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of every window and its document: WINDOW words each STRIDE words, so that they overlap and leave out nothing."""
+    """First word of every window and its document: WINDOW words each STRIDE words, so that any passage of half a window lies whole in one."""
     count = np.bincount(doc, minlength=n_docs)
     first = np.cumsum(count) - count
     n = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)

@@ -39,3 +39,10 @@ def test_calibration_counts_rows_by_weight():
     y = (draw.random(400) < 1 / (1 + np.exp(2 - 2 * x))).astype(float)
     whole = toxicity.calibrated(np.concatenate((x, np.repeat(x[y == 0], 6))), np.concatenate((y, np.zeros(6 * int((y == 0).sum())))), np.ones(400 + 6 * int((y == 0).sum())))
     assert toxicity.calibrated(x, y, np.where(y > 0, 1.0, 7.0)) == pytest.approx(whole, abs=1e-6)
+
+
+def test_half_a_window_lies_whole_in_one():
+    size, half = 500, toxicity.WINDOW // 2
+    first, owner = toxicity.windows_of(np.repeat([0, 1], [size, 30]), 2)
+    first = first[owner == 0]
+    assert all(((first <= at) & (at + half <= first + toxicity.WINDOW)).any() for at in range(size - half + 1))
