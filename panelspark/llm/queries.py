@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, shards
+from . import decontaminate, mixing, prefixes, shards
 from .decontaminate import contamination
 from .fingerprints import neighbour_fingerprints
 from .grammar import grammar_round_trip
 from .jaccard import jaccard_groups
+from .mixing import source_mix
 from .ngrams import language_scores
 from .packing import pack_documents
+from .periods import period_report
+from .prefixes import conversation_trie
 from .registry import ORACLES, QUERIES, query
 from .shards import extendible_shards
 from .suffixes import repeated_spans
@@ -79,3 +82,18 @@ def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_grammar_files")
 def _grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_round_trip(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op11_conversation_trie", prefixes.ORACLE)
+def _trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op12_periodic_runs")
+def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_report(read(spark, sf_dir, "documents"))
+
+
+@query("op13_source_mix", mixing.ORACLE)
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(read(spark, sf_dir, "documents"))

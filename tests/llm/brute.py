@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -113,3 +114,68 @@ def wordpieces(word, initial, later):
         else:
             return None
     return pieces
+
+
+def conversation_nodes(rows):
+    """[(conv_id, turn, role, text)] -> [(conv_id, depth, parent, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)]"""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % 4
+        path = tuple(own.get(c - c % 20, [])[:h] + own[c][h:])
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+        ends[path].append(c)
+    children = defaultdict(list)
+    for path in members:
+        if path:
+            children[path[:-1]].append(path)
+    leaves, saved = {}, {}
+    for path in sorted(members, key=len, reverse=True):
+        below = children[path]
+        words = len(BLANK.findall(path[-1][1])) if path else 0
+        leaves[path] = sum(leaves[x] for x in below) or 1
+        saved[path] = sum(saved[x] for x in below) + (len(members[path]) - 1) * words
+    sha = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return [(m[0], len(p), members[p[:-1]][0] if p else None, len(m), len(children[p]), leaves[p], saved[p], sha(ends.get(p, []))) for p, m in members.items()]
+
+
+def periodic_runs(words):
+    """[(start, length, period)] of a list of words."""
+    found = {}
+    for p in range(1, len(words) // 3 + 1):
+        i = 0
+        while i + p < len(words):
+            j = i
+            while j + p < len(words) and words[j] == words[j + p]:
+                j += 1
+            if j > i and j + p - i >= max(24, 3 * p):
+                found.setdefault((i, j + p - i), p)
+            i = j + 1
+    return sorted((s, n, p) for (s, n), p in found.items())
+
+
+def period_report(rows):
+    """[(doc_id, text)] -> [(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256)]"""
+    out = []
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for d, text in rows:
+        words = BLANK.findall(text or "")
+        n = len(words)
+        h = zlib.crc32(str(d).encode()) if d is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        runs = periodic_runs(words)
+        gone = {i for s, n, p in runs for i in range(s + p, s + n)}
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else None
+        listed = sha("".join(f"{s},{n},{p}\n" for s, n, p in sorted(runs, key=lambda r: (r[0], r[2]))))
+        out.append((d, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, listed, sha(" ".join(w for i, w in enumerate(words) if i not in gone))))
+    return out

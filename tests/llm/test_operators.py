@@ -305,5 +305,5 @@ def test_gradients():
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
-    assert json.dumps(sorted(queries.ORACLES)) == json.dumps(["op3_extendible_shards", "op6_winnowed_contamination"])
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
+    assert json.dumps(sorted(queries.ORACLES)) == json.dumps(["op11_conversation_trie", "op13_source_mix", "op3_extendible_shards", "op6_winnowed_contamination"])
