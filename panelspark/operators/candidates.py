@@ -7,113 +7,112 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-# fixed values: one line per hyper-parameter: model, name, rule, default ("-" none), "?" if it may be missing.
-# rules: integer or number with an interval, one of {...}, boolean, list of integers with its length interval;
-# a dotted name is one place of a tuple
-RULES = """
-ARIMA order.p integer [0,5] 2
-ARIMA order.d integer [0,2] 1
-ARIMA order.q integer [0,5] 2
-SARIMA order.p integer [0,5] 3
-SARIMA order.d integer [0,2] 0
-SARIMA order.q integer [0,5] 1
-SARIMA seasonal_order.P integer [0,2] 0
-SARIMA seasonal_order.D integer [0,1] 1
-SARIMA seasonal_order.Q integer [0,2] 1
-SARIMA seasonal_order.m integer [0,366] 7
-Prophet seasonality_mode {additive,multiplicative} additive
-Prophet changepoint_prior_scale number (0,1] 0.05
-ETS trend {add,mul,null} add
-ETS seasonal {add,mul,null} null
-ETS seasonal_periods null|integer [2,366] null ?
-MLP hidden_layer_sizes list [1,8] 64;32
-LSTM lag integer [1,512] 12
-LSTM hidden_size integer [1,4096] 64
-LSTM num_layers integer [1,16] 2
-LSTM dropout number [0,1) 0.1
-LSTM epochs integer [1,2000] 100
-LSTM learning_rate number (0,1] 0.001
-XGBoost n_estimators integer [1,10000] 200
-XGBoost max_depth integer [1,64] 6
-XGBoost learning_rate number (0,1] 0.05
-XGBoost subsample number (0,1] 0.8 ?
-XGBoost colsample_bytree number (0,1] 0.8 ?
-RandomForest n_estimators integer [1,10000] 200
-RandomForest max_depth null|integer [1,256] 10
-LightGBM n_estimators integer [1,10000] 200
-LightGBM learning_rate number (0,1] 0.05
-LightGBM max_depth -1|integer [1,256] 6
-CatBoost iterations integer [1,10000] 300
-CatBoost learning_rate number (0,1] 0.05
-CatBoost depth integer [1,16] 6
-N-BEATS lookback integer [2,512] 20
-N-BEATS hidden_units integer [1,4096] 256
-N-BEATS stacks integer [1,64] 2
-N-BEATS epochs integer [1,2000] 100
-Chronos model_size {tiny,mini,small} tiny
-DLinear lag integer [2,512] 24
-DLinear epochs integer [1,2000] 100
-Reformer lag integer [2,512] 30
-Reformer epochs integer [1,2000] 100
-Reformer nhead integer [1,16] 4
-Reformer num_layers integer [1,16] 2
-Reformer dim_feedforward integer [1,8192] 128
-Autoformer input_size integer [2,2048] 96
-Autoformer hidden_size integer [1,4096] 512
-Autoformer max_steps integer [1,2000] 10
-Autoformer n_head integer [1,16] 8
-Autoformer encoder_layers integer [1,16] 2
-Autoformer decoder_layers integer [1,16] 1
-Informer input_size integer [2,2048] 96
-Informer hidden_size integer [1,4096] 512
-Informer max_steps integer [1,2000] 10
-Informer n_head integer [1,16] 8
-Informer encoder_layers integer [1,16] 2
-Informer decoder_layers integer [1,16] 1
-FEDformer input_size integer [2,2048] 96
-FEDformer hidden_size integer [1,4096] 512
-FEDformer max_steps integer [1,2000] 10
-FEDformer n_head {8} 8
-FEDformer encoder_layers integer [1,16] 2
-FEDformer decoder_layers integer [1,16] 1
-N-HiTS input_size integer [2,2048] 96
-N-HiTS max_steps integer [1,2000] 10
-PatchTST input_size integer [2,2048] 96
-PatchTST hidden_size integer [1,4096] 512
-PatchTST max_steps integer [1,2000] 10
-PatchTST n_head integer [1,16] 8
-PatchTST encoder_layers integer [1,16] 2
-TimesNet input_size integer [2,2048] 96
-TimesNet hidden_size integer [1,4096] 512
-TimesNet max_steps integer [1,2000] 10
-TiDE input_size integer [2,2048] 96
-TiDE hidden_size integer [1,4096] 512
-TiDE max_steps integer [1,2000] 10
-TiDE num_decoder_layers integer [1,16] 1
-ElasticNet alpha number (0,1000000] 1.0
-ElasticNet l1_ratio number [0,1] 0.5
-ElasticNet fit_intercept boolean true ?
-ElasticNet max_iter integer [1,1000000] 1000 ?
-ElasticNet tol number (0,1] 0.0001 ?
-ElasticNet selection {cyclic,random} cyclic ?
-ElasticNet positive boolean false ?
-KNN n_neighbors integer [1,10000] 5
-KNN weights {uniform,distance} uniform ?
-KNN algorithm {auto,ball_tree,kd_tree,brute} auto ?
-KNN leaf_size integer [1,10000] 30 ?
-KNN p integer [1,100] 2 ?
-KNN metric {minkowski,euclidean,manhattan} minkowski ?
-SVR C number (0,1000000] 1.0
-SVR epsilon number [0,1000000] 0.1
-SVR kernel {rbf,linear,poly,sigmoid} rbf
-SVR gamma scale|auto|number (0,1000000] scale ?
-SVR degree integer [1,100] 3 ?
-SVR coef0 number [-1000000,1000000] 0.0 ?
-SVR shrinking boolean true ?
-SVR tol number (0,1] 0.001 ?
-SVR cache_size number (0,1000000] 200.0 ?
-SVR max_iter -1|integer [1,1000000] -1 ?
-"""
+# fixed values: model, hyper-parameter (a dotted name is one place of a tuple), kind, words allowed beside numbers,
+# lowest and highest value (of a list: length), whether either is itself excluded, whether it must be given, default
+RULES = [
+    ("ARIMA", "order.p", "integer", [], 0, 5, False, False, True, "2"),
+    ("ARIMA", "order.d", "integer", [], 0, 2, False, False, True, "1"),
+    ("ARIMA", "order.q", "integer", [], 0, 5, False, False, True, "2"),
+    ("SARIMA", "order.p", "integer", [], 0, 5, False, False, True, "3"),
+    ("SARIMA", "order.d", "integer", [], 0, 2, False, False, True, "0"),
+    ("SARIMA", "order.q", "integer", [], 0, 5, False, False, True, "1"),
+    ("SARIMA", "seasonal_order.P", "integer", [], 0, 2, False, False, True, "0"),
+    ("SARIMA", "seasonal_order.D", "integer", [], 0, 1, False, False, True, "1"),
+    ("SARIMA", "seasonal_order.Q", "integer", [], 0, 2, False, False, True, "1"),
+    ("SARIMA", "seasonal_order.m", "integer", [], 0, 366, False, False, True, "7"),
+    ("Prophet", "seasonality_mode", "enum", ["additive", "multiplicative"], None, None, False, False, True, "additive"),
+    ("Prophet", "changepoint_prior_scale", "number", [], 0, 1, True, False, True, "0.05"),
+    ("ETS", "trend", "enum", ["add", "mul", "null"], None, None, False, False, True, "add"),
+    ("ETS", "seasonal", "enum", ["add", "mul", "null"], None, None, False, False, True, "null"),
+    ("ETS", "seasonal_periods", "integer", ["null"], 2, 366, False, False, False, "null"),
+    ("MLP", "hidden_layer_sizes", "list", [], 1, 8, False, False, True, "64;32"),
+    ("LSTM", "lag", "integer", [], 1, 512, False, False, True, "12"),
+    ("LSTM", "hidden_size", "integer", [], 1, 4096, False, False, True, "64"),
+    ("LSTM", "num_layers", "integer", [], 1, 16, False, False, True, "2"),
+    ("LSTM", "dropout", "number", [], 0, 1, False, True, True, "0.1"),
+    ("LSTM", "epochs", "integer", [], 1, 2000, False, False, True, "100"),
+    ("LSTM", "learning_rate", "number", [], 0, 1, True, False, True, "0.001"),
+    ("XGBoost", "n_estimators", "integer", [], 1, 10000, False, False, True, "200"),
+    ("XGBoost", "max_depth", "integer", [], 1, 64, False, False, True, "6"),
+    ("XGBoost", "learning_rate", "number", [], 0, 1, True, False, True, "0.05"),
+    ("XGBoost", "subsample", "number", [], 0, 1, True, False, False, "0.8"),
+    ("XGBoost", "colsample_bytree", "number", [], 0, 1, True, False, False, "0.8"),
+    ("RandomForest", "n_estimators", "integer", [], 1, 10000, False, False, True, "200"),
+    ("RandomForest", "max_depth", "integer", ["null"], 1, 256, False, False, True, "10"),
+    ("LightGBM", "n_estimators", "integer", [], 1, 10000, False, False, True, "200"),
+    ("LightGBM", "learning_rate", "number", [], 0, 1, True, False, True, "0.05"),
+    ("LightGBM", "max_depth", "integer", ["-1"], 1, 256, False, False, True, "6"),
+    ("CatBoost", "iterations", "integer", [], 1, 10000, False, False, True, "300"),
+    ("CatBoost", "learning_rate", "number", [], 0, 1, True, False, True, "0.05"),
+    ("CatBoost", "depth", "integer", [], 1, 16, False, False, True, "6"),
+    ("N-BEATS", "lookback", "integer", [], 2, 512, False, False, True, "20"),
+    ("N-BEATS", "hidden_units", "integer", [], 1, 4096, False, False, True, "256"),
+    ("N-BEATS", "stacks", "integer", [], 1, 64, False, False, True, "2"),
+    ("N-BEATS", "epochs", "integer", [], 1, 2000, False, False, True, "100"),
+    ("Chronos", "model_size", "enum", ["tiny", "mini", "small"], None, None, False, False, True, "tiny"),
+    ("DLinear", "lag", "integer", [], 2, 512, False, False, True, "24"),
+    ("DLinear", "epochs", "integer", [], 1, 2000, False, False, True, "100"),
+    ("Reformer", "lag", "integer", [], 2, 512, False, False, True, "30"),
+    ("Reformer", "epochs", "integer", [], 1, 2000, False, False, True, "100"),
+    ("Reformer", "nhead", "integer", [], 1, 16, False, False, True, "4"),
+    ("Reformer", "num_layers", "integer", [], 1, 16, False, False, True, "2"),
+    ("Reformer", "dim_feedforward", "integer", [], 1, 8192, False, False, True, "128"),
+    ("Autoformer", "input_size", "integer", [], 2, 2048, False, False, True, "96"),
+    ("Autoformer", "hidden_size", "integer", [], 1, 4096, False, False, True, "512"),
+    ("Autoformer", "max_steps", "integer", [], 1, 2000, False, False, True, "10"),
+    ("Autoformer", "n_head", "integer", [], 1, 16, False, False, True, "8"),
+    ("Autoformer", "encoder_layers", "integer", [], 1, 16, False, False, True, "2"),
+    ("Autoformer", "decoder_layers", "integer", [], 1, 16, False, False, True, "1"),
+    ("Informer", "input_size", "integer", [], 2, 2048, False, False, True, "96"),
+    ("Informer", "hidden_size", "integer", [], 1, 4096, False, False, True, "512"),
+    ("Informer", "max_steps", "integer", [], 1, 2000, False, False, True, "10"),
+    ("Informer", "n_head", "integer", [], 1, 16, False, False, True, "8"),
+    ("Informer", "encoder_layers", "integer", [], 1, 16, False, False, True, "2"),
+    ("Informer", "decoder_layers", "integer", [], 1, 16, False, False, True, "1"),
+    ("FEDformer", "input_size", "integer", [], 2, 2048, False, False, True, "96"),
+    ("FEDformer", "hidden_size", "integer", [], 1, 4096, False, False, True, "512"),
+    ("FEDformer", "max_steps", "integer", [], 1, 2000, False, False, True, "10"),
+    ("FEDformer", "n_head", "enum", ["8"], None, None, False, False, True, "8"),
+    ("FEDformer", "encoder_layers", "integer", [], 1, 16, False, False, True, "2"),
+    ("FEDformer", "decoder_layers", "integer", [], 1, 16, False, False, True, "1"),
+    ("N-HiTS", "input_size", "integer", [], 2, 2048, False, False, True, "96"),
+    ("N-HiTS", "max_steps", "integer", [], 1, 2000, False, False, True, "10"),
+    ("PatchTST", "input_size", "integer", [], 2, 2048, False, False, True, "96"),
+    ("PatchTST", "hidden_size", "integer", [], 1, 4096, False, False, True, "512"),
+    ("PatchTST", "max_steps", "integer", [], 1, 2000, False, False, True, "10"),
+    ("PatchTST", "n_head", "integer", [], 1, 16, False, False, True, "8"),
+    ("PatchTST", "encoder_layers", "integer", [], 1, 16, False, False, True, "2"),
+    ("TimesNet", "input_size", "integer", [], 2, 2048, False, False, True, "96"),
+    ("TimesNet", "hidden_size", "integer", [], 1, 4096, False, False, True, "512"),
+    ("TimesNet", "max_steps", "integer", [], 1, 2000, False, False, True, "10"),
+    ("TiDE", "input_size", "integer", [], 2, 2048, False, False, True, "96"),
+    ("TiDE", "hidden_size", "integer", [], 1, 4096, False, False, True, "512"),
+    ("TiDE", "max_steps", "integer", [], 1, 2000, False, False, True, "10"),
+    ("TiDE", "num_decoder_layers", "integer", [], 1, 16, False, False, True, "1"),
+    ("ElasticNet", "alpha", "number", [], 0, 1000000, True, False, True, "1.0"),
+    ("ElasticNet", "l1_ratio", "number", [], 0, 1, False, False, True, "0.5"),
+    ("ElasticNet", "fit_intercept", "boolean", [], None, None, False, False, False, "true"),
+    ("ElasticNet", "max_iter", "integer", [], 1, 1000000, False, False, False, "1000"),
+    ("ElasticNet", "tol", "number", [], 0, 1, True, False, False, "0.0001"),
+    ("ElasticNet", "selection", "enum", ["cyclic", "random"], None, None, False, False, False, "cyclic"),
+    ("ElasticNet", "positive", "boolean", [], None, None, False, False, False, "false"),
+    ("KNN", "n_neighbors", "integer", [], 1, 10000, False, False, True, "5"),
+    ("KNN", "weights", "enum", ["uniform", "distance"], None, None, False, False, False, "uniform"),
+    ("KNN", "algorithm", "enum", ["auto", "ball_tree", "kd_tree", "brute"], None, None, False, False, False, "auto"),
+    ("KNN", "leaf_size", "integer", [], 1, 10000, False, False, False, "30"),
+    ("KNN", "p", "integer", [], 1, 100, False, False, False, "2"),
+    ("KNN", "metric", "enum", ["minkowski", "euclidean", "manhattan"], None, None, False, False, False, "minkowski"),
+    ("SVR", "C", "number", [], 0, 1000000, True, False, True, "1.0"),
+    ("SVR", "epsilon", "number", [], 0, 1000000, False, False, True, "0.1"),
+    ("SVR", "kernel", "enum", ["rbf", "linear", "poly", "sigmoid"], None, None, False, False, True, "rbf"),
+    ("SVR", "gamma", "number", ["scale", "auto"], 0, 1000000, True, False, False, "scale"),
+    ("SVR", "degree", "integer", [], 1, 100, False, False, False, "3"),
+    ("SVR", "coef0", "number", [], -1000000, 1000000, False, False, False, "0.0"),
+    ("SVR", "shrinking", "boolean", [], None, None, False, False, False, "true"),
+    ("SVR", "tol", "number", [], 0, 1, True, False, False, "0.001"),
+    ("SVR", "cache_size", "number", [], 0, 1000000, True, False, False, "200.0"),
+    ("SVR", "max_iter", "integer", ["-1"], 1, 1000000, False, False, False, "-1"),
+]
 # fixed values: values suggested for the models this library forecasts with
 SUGGESTIONS = {
     "ARIMA": {"order": ["1,0,0", "1,1,1", "2,1,2", "3,1,2"]},
@@ -125,37 +124,17 @@ SUGGESTIONS = {
 }
 
 
-def _parse(line: str) -> tuple:
-    model, name, *rest = line.split()
-    optional = rest[-1] == "?"
-    rest = rest[:-1] if optional else rest
-    default = rest[-1]
-    rule = rest[:-1]
-    words, low, high, low_open, high_open = [], None, None, False, False
-    kind = rule[0]
-    if kind.startswith("{"):
-        kind, words = "enum", kind.strip("{}").split(",")
-    elif "|" in kind:
-        *words, kind = kind.split("|")
-    if len(rule) > 1:
-        low_open, high_open = rule[1][0] == "(", rule[1][-1] == ")"
-        low, high = (float(v) for v in rule[1].strip("[]()").split(","))
-    return model, name, kind, words, low, high, low_open, high_open, not optional, default
-
-
-PARSED = [_parse(line) for line in RULES.strip().splitlines()]
-
-
 def rule_table(spark: SparkSession) -> DataFrame:
     """The rules as a table of fixed size (about a hundred rows), small enough to be broadcast."""
     schema = "model string, name string, kind string, words array<string>, low double, high double, low_open boolean, high_open boolean, required boolean, default_value string"
-    return spark.createDataFrame(PARSED, schema)
+    as_number = lambda v: None if v is None else float(v)
+    return spark.createDataFrame([(*r[:4], as_number(r[4]), as_number(r[5]), *r[6:]) for r in RULES], schema)
 
 
 def defaults_table(spark: SparkSession) -> DataFrame:
     """Default hyper-parameters of each model as a map: one row per model."""
     by_model: dict[str, dict[str, str]] = {}
-    for m, name, *_, value in PARSED:
+    for m, name, *_, value in RULES:
         by_model.setdefault(m, {})[name] = value
     names = [(m, list(d), list(d.values())) for m, d in by_model.items()]
     table = spark.createDataFrame(names, "model string, names array<string>, vals array<string>")

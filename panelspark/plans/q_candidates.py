@@ -50,7 +50,7 @@ def _q(v):
         return "NULL"
     if isinstance(v, bool):
         return str(v).lower()
-    if isinstance(v, float):
+    if isinstance(v, (int, float)):
         return f"{v}::DOUBLE"
     if isinstance(v, list):
         return f"{v}::VARCHAR[]"
@@ -59,7 +59,7 @@ def _q(v):
 
 _PLACE: dict = {}
 _ROWS = []
-for _r in C.PARSED:
+for _r in C.RULES:
     _PLACE[_r[0]] = _PLACE.get(_r[0], -1) + 1
     _ROWS.append(f"({', '.join(_q(v) for v in _r)}, {_PLACE[_r[0]]})")
 RULED = "rul(model, name, kind, words, low, high, low_open, high_open, required, dflt, place) AS (VALUES " + ", ".join(_ROWS) + f"""),
