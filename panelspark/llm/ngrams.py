@@ -136,7 +136,7 @@ def _deal(docs: DataFrame, buckets: int, frequent: np.ndarray, wide: int) -> Dat
                 new = np.concatenate(([0], np.flatnonzero(np.diff(token[low:high])) + 1))
                 head = np.array([len(doc), len(new), high - low], "<i4").tobytes()
                 parts = [head, flags, six(token[low:high][new]), np.diff([*new, high - low]).astype("<i4").tobytes()]
-                parts += [_bytes(before[low:high] >> U64(8), wide), two[low:high].astype("<u2").tobytes(), slot[low:high].astype("<u2").tobytes()]
+                parts += [_bytes(before[low:high] >> U64(8), wide), two[low:high].astype("<u2").tobytes(), slot[low:high].astype("<u4").tobytes()]
                 rows.append((int(bucket[low]), unit, ENTRIES, b"".join(parts)))
             a, b, c, d = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.binary())], names=["bucket", "unit", "kind", "body"])
@@ -223,7 +223,7 @@ def _score(dealt: DataFrame, frequent: dict[int, int], unit: float, wide: int) -
                 at += 10 * n_words
                 before = _of_bytes(body[at : at + wide * n], wide)
                 two = np.frombuffer(body, "<u2", n, at + wide * n)
-                slot = np.frombuffer(body, "<u2", n, at + (wide + 2) * n).astype(np.int64)
+                slot = np.frombuffer(body, "<u4", n, at + (wide + 2) * n).astype(np.int64)
                 columns.append((word, before, two, slot + sum(sizes), flags[slot]))
                 units.append(name)
                 sizes.append(n_docs)
@@ -270,7 +270,7 @@ def _score(dealt: DataFrame, frequent: dict[int, int], unit: float, wide: int) -
             low = 0
             for name, n in zip(units, sizes):
                 some = np.flatnonzero(here[low : low + n])
-                body = some.astype("<u2").tobytes() + sums[0][low + some].astype("<f8").tobytes() + sums[1][low + some].astype("<f8").tobytes() + sums[2][low + some].astype("<i4").tobytes()
+                body = some.astype("<u4").tobytes() + sums[0][low + some].astype("<f8").tobytes() + sums[1][low + some].astype("<f8").tobytes() + sums[2][low + some].astype("<i4").tobytes()
                 out.append((name, ENTRIES, body))
                 low += n
             n_distinct -= int(np.isin(own, names).sum()) if len(first) else 0  # frequent words are counted apart
@@ -304,11 +304,11 @@ def _combine(scored: DataFrame, start: float) -> DataFrame:
             n = table.shape[1]
             score, base, known = np.full(n, -start), np.zeros(n), np.zeros(n, np.int64)
             for body in sums.pop(unit, ()):
-                k = len(body) // 22
-                slot = np.frombuffer(body, "<u2", k).astype(np.int64)
-                score[slot] += np.frombuffer(body, "<f8", k, 2 * k)
-                base[slot] += np.frombuffer(body, "<f8", k, 10 * k)
-                known[slot] += np.frombuffer(body, "<i4", k, 18 * k)
+                k = len(body) // 24
+                slot = np.frombuffer(body, "<u4", k).astype(np.int64)
+                score[slot] += np.frombuffer(body, "<f8", k, 4 * k)
+                base[slot] += np.frombuffer(body, "<f8", k, 12 * k)
+                known[slot] += np.frombuffer(body, "<i4", k, 20 * k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(table[0], pa.int64(), mask=table[3].astype(bool)), pa.array(table[2] == 0), pa.array(table[1]), pa.array(known), pa.array(base), pa.array(score), pa.nulls(n, pa.int64())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words"],

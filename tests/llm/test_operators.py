@@ -307,3 +307,15 @@ def test_gradients():
 def test_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert json.dumps(sorted(queries.ORACLES)) == json.dumps(["op11_conversation_trie", "op13_source_mix", "op3_extendible_shards", "op6_winnowed_contamination"])
+
+
+def test_language_scores_of_large_batches(spark):
+    """More documents in one Arrow batch than 16 bits can number."""
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        docs = spark.range(80_000, numPartitions=1).selectExpr("id AS doc_id", "'' AS text")
+        got = ngrams.language_scores(docs).selectExpr("min(score) AS a", "max(score) AS b", "min(n_known) AS c", "max(n_known) AS d", "count(*) AS n").first()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got.a == got.b <= 0 and got.c == got.d == 1 and got.n == 80_000
