@@ -50,7 +50,12 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; see ``contaminated_rows``."""
+    return contaminated_rows(docs, benchmark, doc_id, text, item_id, item_text).drop("row_hash")
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document: doc_id, row_hash (xxhash64 of its text), n_words, n_hit, n_items, items_sha256, contaminated.
 
     A window is WINDOW consecutive words of a benchmark item; a shorter item, but not an empty one,
     is one window.  Each document word inside an occurrence of a window is hit.  Null texts have no
@@ -110,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     match = (F.col("c.doc_id").eqNullSafe(F.col("j.doc_id"))) & (F.col("c.row_hash") == F.col("j.row_hash"))
     ids = F.coalesce("j.ids", F.array().cast("array<string>"))
     return counted.alias("c").join(judged.alias("j"), match, "left").select(
-        "c.doc_id", "c.n_words",
+        "c.doc_id", "c.row_hash", "c.n_words",
         F.coalesce("j.hit", F.lit(0).cast("long")).alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),

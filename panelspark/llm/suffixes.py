@@ -9,11 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import U64, Polynomial, integers, mix, part_count, runs, steps, texts, utf8
-from .exchange import DEALT, UNIT_KEYS, bucket_of, by_bucket, dealt_batch, pack_keys, unpack_extra, unpack_keys
+from .exchange import DEALT, bucket_of, by_bucket, dealt_batch, pack_keys, unpack_extra, unpack_keys
 
 #: Bytes of a repeated string, bytes of an anchor, different stretches from which those of an anchor are dealt window by window.
 SPAN, ANCHOR, CROWD = 50, 16, 256
@@ -24,6 +24,8 @@ END = 255
 SIEVE = 6
 #: Bytes of one stretch of a document whose anchors are found at once, strings of one transform, bytes gathered before dealing.
 STRETCH, STRINGS, UNIT_BYTES = 1 << 20, 1 << 14, 8 << 20
+#: Anchors gathered before dealing: each takes some hundred bytes while a unit is sorted.
+UNIT_KEYS = 500_000
 PIECES, COVERED = 1, 2
 PIECE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i4")])
 SPANS = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("end", "<i8")])
@@ -446,17 +448,18 @@ def _cover(head: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _judged(docs: DataFrame, doc_id: str, text: str, function, schema: str) -> DataFrame:
-    """``function`` over documents with the spans to remove (binary pairs from all buckets, null: none) and the hash of the text."""
-    plain = texts(docs, doc_id, text)
+def _judged(docs: DataFrame, doc_id: str, text: str, function, schema: str, rest: Column | None = None) -> DataFrame:
+    """``function`` over documents with the spans to remove (binary pairs from all buckets, null: none) and ``rest``, whatever else of a row goes along."""
+    plain = texts(docs, doc_id, text) if rest is None else docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    kept = ["rest"] if rest is not None else []
     buckets = part_count(plain)
     known = plain.filter("doc_id is not null")
-    wanted = _shared(_anchors(known, buckets)).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("keys").alias("keys"))
+    wanted = _shared(_anchors(known.select("doc_id", "text"), buckets)).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("keys").alias("keys"))
     marked = known.join(wanted, "doc_id").withColumn("row", F.xxhash64("text"))
     spans = _spans(_pieces(marked, buckets)).groupBy(F.col("doc").alias("span_doc")).agg(F.collect_list(F.struct("row", "spans")).alias("found"))
     mine = F.filter("found", lambda s: s["row"] == F.xxhash64("text"))
-    judged = known.join(spans, known["doc_id"] == spans["span_doc"], "left").select("doc_id", "text", F.transform(mine, lambda s: s["spans"]).alias("spans"), F.xxhash64("text").alias("row"))
-    nameless = plain.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"), F.xxhash64("text").alias("row"))
+    judged = known.join(spans, known["doc_id"] == spans["span_doc"], "left").select("doc_id", "text", F.transform(mine, lambda s: s["spans"]).alias("spans"), *kept)
+    nameless = plain.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"), *kept)
     # a union below the function would keep both joins from sharing one exchange of the texts
     return judged.mapInArrow(function, schema).unionByName(nameless.mapInArrow(function, schema))
 
@@ -495,17 +498,22 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, text): the remaining text of every document; ``row`` is xxhash64 of the whole one.
+    """``docs`` with what is left of every text; null texts stay null, further columns stay as they are, whatever their names.
 
     A removed run that ends inside a character takes the rest of this character along, as the bytes
-    left would be no text.
+    left would be no text.  The column ``text`` is the last one.
     """
+    others = [c for c in docs.columns if c != text]
+    # by number: a column may have any name here
+    rest = F.struct(F.col(f"`{text}`").isNull().alias("no_text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
+    kinds = ", ".join(["no_text: boolean", *[f"c{k}: {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others)]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             data, at = utf8(batch.column(1))
             raw = data.tobytes()
             kept = [_cut_out(raw[at[k] : at[k + 1]], blobs)[0].decode("utf-8", "ignore") for k, blobs in enumerate(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(kept, pa.string())], names=["doc_id", "row", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(3)], names=["text", "rest"])
 
-    return _judged(docs, doc_id, text, cut, "doc_id long, row long, text string")
+    left = _judged(docs, doc_id, text, cut, f"text string, rest struct<{kinds}>", rest)
+    return left.select(*[F.col(f"rest.c{k}").alias(c) for k, c in enumerate(others)], F.when(~F.col("rest.no_text"), F.col("text")).alias(text))

@@ -371,7 +371,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+    """One row per document: doc_id, held_out, score, predicted; see ``scored_rows``."""
+    return scored_rows(docs, labels, doc_id, text, toxic, folds, held).drop("row_hash")
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
+    """One row per document: doc_id, row_hash (xxhash64 of its text), held_out, score, predicted.
 
     Fitted on labelled documents whose crc32(doc_id as text) modulo ``folds`` isn't ``held``; only
     the text is an input.  Every whole text is scored by all its overlapping windows.  A text
@@ -386,7 +391,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         for batch in steps(batches, limit=STEP):
             words = Words(*utf8(batch.column(1)))
             value = network.documents(words, batch.num_rows).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "row_hash", "held_out", "score", "predicted"])
 
-    plain = texts(docs, doc_id, text).withColumn("held_out", fold_of(F.col("doc_id"), folds) == held)
-    return plain.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    plain = texts(docs, doc_id, text).withColumn("held_out", fold_of(F.col("doc_id"), folds) == held).withColumn("row_hash", F.xxhash64("text"))
+    return plain.mapInArrow(score, "doc_id long, row_hash long, held_out boolean, score double, predicted int")
