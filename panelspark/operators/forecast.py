@@ -343,7 +343,7 @@ def _block_map(y, start, m, dim, trend, season, grid):
     return np.stack(columns, axis=2), zero
 
 
-def exponential_smoothing(
+def smoothing_states(
     parts: DataFrame,
     spec: SplitSpec,
     trend: str | None = "add",
@@ -353,10 +353,9 @@ def exponential_smoothing(
     block: int = ETS_BLOCK,
     grid: Sequence[tuple[float, float, float]] = tuple(GRID),
 ) -> DataFrame:
-    """Holt-Winters smoothing; at every origin the parameters with the smallest squared error so far.
+    """(series, origin, p, state, sse): state before each origin and squared error so far, for every parameter triple p of the grid.
 
-    A seasonal part needs a period.  Multiplicative parts are smoothed additively on the logarithm
-    and need a positive target.
+    Multiplicative parts are smoothed additively on the logarithm and need a positive target.
     """
     if seasonal and m < 2:
         raise ValueError("a seasonal part needs a period of at least 2")
@@ -425,10 +424,29 @@ def exponential_smoothing(
     earlier = running(ran.filter("origin < 0").select(KEY, "p", "blk", "total"), [KEY, "p"], {"_before": ("sum", F.col("total"), False)}, pos="blk")
     scored = ran.filter("origin >= 0").drop("total").join(earlier.select(KEY, "p", "blk", "_before"), [KEY, "p", "blk"])
     scored = scored.withColumn("sse", F.col("sse") + F.coalesce("_before", F.lit(0.0)))
+    return scored.select(KEY, "origin", "p", "state", "sse")
+
+
+def exponential_smoothing(
+    parts: DataFrame,
+    spec: SplitSpec,
+    trend: str | None = "add",
+    seasonal: str | None = "add",
+    m: int = 12,
+    partition: str = "validation",
+    block: int = ETS_BLOCK,
+    grid: Sequence[tuple[float, float, float]] = tuple(GRID),
+) -> DataFrame:
+    """Holt-Winters smoothing; at every origin the parameters with the smallest squared error so far.
+
+    A seasonal part needs a period.  See ``smoothing_states`` for multiplicative parts.
+    """
+    logs = "mul" in (trend, seasonal)
+    scored = smoothing_states(parts, spec, trend, seasonal, m, partition, block, grid)
     best = scored.groupBy(KEY, "origin").agg(F.min_by("state", F.struct(F.round("sse", 9), "p")).alias("state"))
     wanted = with_origin(parts, spec, partition).join(best, [KEY, "origin"], "left")
     ahead = F.get("state", F.lit(0)) + F.get("state", F.lit(1)) * F.col("step")
-    if has_season:
+    if seasonal is not None:
         ahead = ahead + F.get("state", (F.pmod(F.col("pos"), F.lit(m)) + 2).cast("int"))
     return wanted.select(KEY, "origin", "step", "pos", "date", F.col("target").alias("y"), (F.exp(ahead) if logs else ahead).alias("yhat"))
 
