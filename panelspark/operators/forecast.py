@@ -464,79 +464,103 @@ def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return (np.abs(a[:, None, :] - b[None, :, :]) ** p).sum(axis=2) ** (1.0 / p)
 
 
-def nearest(train: DataFrame, queries: DataFrame, k: int = 5, p: int = 2, key: str = KEY, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Exact k nearest training rows of every query: (key, query_id, id, distance, value, rank).
+class Neighbours:
+    """Training rows (key, id, x array of doubles, value) in cells around their nearest pivot, ready for exact searches.
 
-    ``train``: key, id, x (array of doubles), value; ``queries``: key, query_id, x.  Training rows
-    form cells around their nearest pivot.  A query first searches its own cell, then only cells
-    that may hold something closer than its k-th neighbour so far.  Cells are cut into pieces of
-    bounded size and emit at most k rows per query.
+    A query first searches its own cell, then only cells that may hold something closer than its
+    k-th neighbour so far.  Cells are cut into pieces of bounded size and emit at most k rows per query.
     """
-    kind = train.schema[key].dataType.simpleString()
-    qkind, ikind = queries.schema["query_id"].dataType.simpleString(), train.schema["id"].dataType.simpleString()
-    pick = Window.partitionBy(key).orderBy(F.xxhash64("id"), "id")
-    chosen = train.select(key, "id", "x").withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= pivots)
-    centres = cut(chosen.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_r", "x"))).alias("_p")).select(key, F.col("_p.x").alias("centres")))
-
-    def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            near, far = [], []
-            for x, cs in zip(pdf.x, pdf.centres):
-                d = _distances(np.asarray([x], dtype=float), np.array([list(c) for c in cs], dtype=float), p)[0]
-                near.append(int(d.argmin()))
-                far.append(d.tolist())
-            out = pdf.drop(columns=["centres"])
-            out["cell"], out["to_pivots"] = near, far
-            yield out
-
-    t = attach(train.select(key, "id", "x", F.col("value").cast("double").alias("value")), centres, key, "id")
-    t = t.mapInPandas(assign, f"{key} {kind}, id {ikind}, x array<double>, value double, cell int, to_pivots array<double>")
-    t = cut(t.withColumn("_d", F.get("to_pivots", F.col("cell"))).drop("to_pivots"))
-    cells = cut(t.groupBy(key, "cell").agg(F.max("_d").alias("radius"), F.count(F.lit(1)).alias("size")))
-    pieces = cells.withColumn("pieces", F.ceil(F.col("size") / cell_rows).cast("int"))
-    t = attach(t, pieces.select(key, "cell", "pieces"), [key, "cell"], "id").withColumn("piece", F.pmod(F.hash("id"), F.col("pieces"))).drop("pieces", "_d")
-    q = attach(queries.select(key, "query_id", "x"), centres, key, "query_id")
-    q = cut(q.mapInPandas(assign, f"{key} {kind}, query_id {qkind}, x array<double>, cell int, to_pivots array<double>"))
-
-    def search(keys, qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
-        columns = [key, "query_id", "id", "distance", "value"]
-        if not len(qs) or not len(ts):
-            return pd.DataFrame(columns=columns)
-        tx = np.array([list(v) for v in ts.x], dtype=float)
-        ids, values = ts["id"].to_numpy(), ts["value"].to_numpy()
-        out = []
-        for lo in range(0, len(qs), 64):
-            some = qs.iloc[lo : lo + 64]
-            d = _distances(np.array([list(v) for v in some.x], dtype=float), tx, p)
-            for i, query in enumerate(some.query_id):
-                order = np.lexsort((ids, d[i]))[:k]
-                out += [(keys[0], query, ids[j], d[i, j], values[j]) for j in order]
-        return pd.DataFrame(out, columns=columns)
 
-    def visit(pairs: DataFrame) -> DataFrame:
-        """``pairs``: key, query_id, x, cell.  Queries of a crowded cell are split as well."""
-        crowd = pairs.groupBy(key, "cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("q_pieces"))
-        spread = crowd.join(pieces.select(key, "cell", "pieces"), [key, "cell"])
-        qs = attach(pairs, spread, [key, "cell"], "query_id").withColumn("q_piece", F.pmod(F.hash("query_id"), F.col("q_pieces")))
-        qs = qs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces", "q_pieces")
-        ts = t.join(spread.select(key, "cell", "q_pieces"), [key, "cell"]).withColumn("q_piece", F.explode(F.sequence(F.lit(0), F.col("q_pieces") - 1))).drop("q_pieces")
-        by = [key, "cell", "piece", "q_piece"]
-        ts = ts.withColumnsRenamed({c: f"_t_{c}" for c in by})
-        found = qs.groupBy(*by).cogroup(ts.groupBy(*[f"_t_{c}" for c in by])).applyInPandas(search, f"{key} {kind}, query_id {qkind}, id {ikind}, distance double, value double")
+    def __init__(self, train: DataFrame, p: int = 2, key: str = KEY, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS):
+        self.p, self.key, self.cell_rows = p, key, cell_rows
+        self.kind, self.ikind = train.schema[key].dataType.simpleString(), train.schema["id"].dataType.simpleString()
+        pick = Window.partitionBy(key).orderBy(F.xxhash64("id"), "id")
+        chosen = train.select(key, "id", "x").withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= pivots)
+        self.centres = cut(chosen.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_r", "x"))).alias("_p")).select(key, F.col("_p.x").alias("centres")))
+        rows = self._placed(train.select(key, "id", "x", F.col("value").cast("double").alias("value")), "id", f"id {self.ikind}, x array<double>, value double")
+        rows = cut(rows.withColumn("_d", F.get("to_pivots", F.col("cell"))).drop("to_pivots"))
+        self.cells = cut(rows.groupBy(key, "cell").agg(F.max("_d").alias("radius"), F.min("id").alias("first"), F.count(F.lit(1)).alias("size")))
+        self.pieces = self.cells.withColumn("pieces", F.ceil(F.col("size") / cell_rows).cast("int")).select(key, "cell", "pieces")
+        rows = attach(rows, self.pieces, [key, "cell"], "id")
+        self.rows = cut(rows.withColumn("piece", F.pmod(F.hash("id"), F.col("pieces"))).drop("pieces", "_d"))
+
+    def _placed(self, rows: DataFrame, spread: str, fields: str) -> DataFrame:
+        """``rows`` with their cell and the distances to all pivots."""
+        p = self.p
+
+        def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                near, far = np.zeros(len(frame), np.int32), [None] * len(frame)
+                for _, some in frame.groupby(self_key, sort=False).indices.items():
+                    centres = np.array([list(c) for c in frame["centres"].iloc[some[0]]], dtype=float)
+                    d = _distances(np.array([list(x) for x in frame["x"].iloc[some]], dtype=float), centres, p)
+                    near[some] = d.argmin(axis=1)
+                    for k, line in zip(some.tolist(), d.tolist()):
+                        far[k] = line
+                out = frame.drop(columns=["centres"])
+                out["cell"], out["to_pivots"] = near, far
+                yield out
+
+        self_key = self.key
+        return attach(rows, self.centres, self.key, spread).select(*rows.columns, "centres").mapInPandas(assign, f"{self.key} {self.kind}, {fields}, cell int, to_pivots array<double>")
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """(key, query_id, id, distance, value, rank): the k nearest rows of every query, ties by id.
+
+        ``queries``: key, query_id, x, and if only rows with a smaller id count, ``before``.
+        """
+        key, p, cell_rows, limited = self.key, self.p, self.cell_rows, "before" in queries.columns
+        qkind = queries.schema["query_id"].dataType.simpleString()
+        extra = ["before"] if limited else []
+        q = self._placed(queries.select(key, "query_id", "x", *extra), "query_id", f"query_id {qkind}, x array<double>" + (f", before {self.ikind}" if limited else ""))
+        q = cut(q)
+
+        def compare(keys, qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
+            columns = [key, "query_id", "id", "distance", "value"]
+            if not len(qs) or not len(ts):
+                return pd.DataFrame(columns=columns)
+            tx = np.array([list(v) for v in ts.x], dtype=float)
+            ids, values = ts["id"].to_numpy(), ts["value"].to_numpy()
+            out = []
+            for lo in range(0, len(qs), 64):
+                some = qs.iloc[lo : lo + 64]
+                d = _distances(np.array([list(v) for v in some.x], dtype=float), tx, p)
+                limits = some["before"].to_numpy() if limited else None
+                for i, query in enumerate(some.query_id):
+                    may = np.flatnonzero(ids < limits[i]) if limited else np.arange(len(ids))
+                    order = may[np.lexsort((ids[may], d[i][may]))[:k]]
+                    out += [(keys[0], query, ids[j], d[i, j], values[j]) for j in order]
+            return pd.DataFrame(out, columns=columns)
+
+        def visit(pairs: DataFrame) -> DataFrame:
+            """``pairs``: key, query_id, x, cell.  Queries of a crowded cell are split as well."""
+            crowd = pairs.groupBy(key, "cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("q_pieces"))
+            spread = crowd.join(self.pieces, [key, "cell"])
+            qs = attach(pairs, spread, [key, "cell"], "query_id").withColumn("q_piece", F.pmod(F.hash("query_id"), F.col("q_pieces")))
+            qs = qs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces", "q_pieces")
+            ts = self.rows.join(spread.select(key, "cell", "q_pieces"), [key, "cell"]).withColumn("q_piece", F.explode(F.sequence(F.lit(0), F.col("q_pieces") - 1))).drop("q_pieces")
+            by = [key, "cell", "piece", "q_piece"]
+            ts = ts.withColumnsRenamed({c: f"_t_{c}" for c in by})
+            found = qs.groupBy(*by).cogroup(ts.groupBy(*[f"_t_{c}" for c in by])).applyInPandas(compare, f"{key} {self.kind}, query_id {qkind}, id {self.ikind}, distance double, value double")
+            top = Window.partitionBy(key, "query_id").orderBy("distance", "id")
+            return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+
+        home = cut(visit(q.select(key, "query_id", "x", "cell", *extra)))
+        bound = home.groupBy(key, "query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_ub"))
+        reach = q.join(bound, [key, "query_id"], "left").select(key, "query_id", "x", *extra, F.col("cell").alias("_home"), "_ub", F.posexplode("to_pivots").alias("cell", "_dist"))
+        reach = reach.filter(F.col("cell") != F.col("_home")).join(self.cells, [key, "cell"])
+        reach = reach.filter(F.col("_ub").isNull() | (F.col("_dist") - F.col("radius") <= F.col("_ub") + 1e-9))
+        if limited:  # a cell whose rows are all too late holds nothing
+            reach = reach.filter(F.col("first") < F.col("before"))
+        other = visit(reach.select(key, "query_id", "x", "cell", *extra))
         top = Window.partitionBy(key, "query_id").orderBy("distance", "id")
-        return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+        both = home.drop("rank").unionByName(other.drop("rank"))
+        return both.withColumn("rank", F.row_number().over(top).cast("bigint")).filter(F.col("rank") <= k)
 
-    home = cut(visit(q.select(key, "query_id", "x", "cell")))
-    bound = home.groupBy(key, "query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_ub"))
-    reach = q.join(bound, [key, "query_id"], "left").select(
-        key, "query_id", "x", F.col("cell").alias("_home"), "_ub", F.posexplode("to_pivots").alias("cell", "_dist")
-    )
-    reach = reach.filter(F.col("cell") != F.col("_home")).join(cells, [key, "cell"])
-    reach = reach.filter(F.col("_ub").isNull() | (F.col("_dist") - F.col("radius") <= F.col("_ub") + 1e-9))
-    other = visit(reach.select(key, "query_id", "x", "cell"))
-    top = Window.partitionBy(key, "query_id").orderBy("distance", "id")
-    both = home.drop("rank").unionByName(other.drop("rank"))
-    return both.withColumn("rank", F.row_number().over(top).cast("bigint")).filter(F.col("rank") <= k)
+
+def nearest(train: DataFrame, queries: DataFrame, k: int = 5, p: int = 2, key: str = KEY, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Exact k nearest training rows of every query: (key, query_id, id, distance, value, rank); see ``Neighbours``."""
+    return Neighbours(train, p, key, pivots, cell_rows).search(queries, k)
 
 
 def knn_regression(neighbours: DataFrame, weights: str = "uniform", key: str = KEY) -> DataFrame:
@@ -549,18 +573,28 @@ def knn_regression(neighbours: DataFrame, weights: str = "uniform", key: str = K
 
 
 def knn_forecast(parts: DataFrame, spec: SplitSpec, lags: Sequence[int], k: int = 5, weights: str = "uniform", p: int = 2, partition: str = "validation") -> DataFrame:
-    """Nearest neighbours in lag space; all lags reach back at least a horizon, so nothing is fed back."""
+    """Nearest neighbours in lag space, at every origin among all rows before it; forecasts feed the lags of later steps.
+
+    All origins of all series take a step at once: a round searches for one query per origin, whose
+    last values, observed before the origin and forecast after it, travel in the row.
+    """
     from .features import add_past_features
 
-    if min(lags) < spec.horizon:
-        raise ValueError("lags shorter than the horizon would read targets inside the origin")
-    rows = add_past_features(parts, lags).dropna(subset=[f"lag_{v}" for v in lags])
-    x = F.array(*[F.col(f"lag_{v}") for v in lags])
-    train = rows.filter("split = 'train'").select(KEY, F.col("pos").alias("id"), x.alias("x"), F.col("target").alias("value"))
-    wanted = with_origin(rows, spec, partition)
-    queries = wanted.select(KEY, F.col("pos").alias("query_id"), x.alias("x"))
-    guess = knn_regression(nearest(train, queries, k, p), weights).withColumnRenamed("query_id", "pos")
-    return wanted.join(guess, [KEY, "pos"], "left").select(KEY, "origin", "step", "pos", "date", F.col("target").alias("y"), "yhat")
+    end = F.col("n_train") + F.col("n_val") if partition == "validation" else F.col("n")
+    names = [f"lag_{v}" for v in lags]
+    rows = add_past_features(parts.filter(F.col("pos") < end), lags).dropna(subset=names)
+    held = Neighbours(rows.select(KEY, F.col("pos").alias("id"), F.array(*names).alias("x"), F.col("target").alias("value")), p)
+    wanted = with_origin(parts, spec, partition)
+    reach = max(lags)
+    state = cut(tails(parts, wanted, reach).filter(F.size("tail") == reach).withColumn("said", F.array().cast("array<double>")))
+    for _ in range(spec.horizon):
+        known = F.concat("tail", "said")
+        x = F.array(*[F.element_at(known, -v) for v in lags])
+        queries = state.select(KEY, F.col("origin").alias("query_id"), x.alias("x"), F.col("origin").alias("before"))
+        guess = knn_regression(held.search(queries, k), weights).withColumnRenamed("query_id", "origin")
+        state = cut(state.join(guess, [KEY, "origin"]).withColumn("said", F.concat("said", F.array("yhat"))).drop("yhat"))
+    steps = state.select(KEY, "origin", F.posexplode("said").alias("step", "yhat")).withColumn("step", (F.col("step") + 1).cast("bigint"))
+    return wanted.join(steps, [KEY, "origin", "step"], "left").select(KEY, "origin", "step", "pos", "date", F.col("target").alias("y"), "yhat")
 
 
 # ---------------------------------------------------------------- trees, one pooled model
@@ -601,7 +635,7 @@ PROTOCOLS: dict[str, str] = {
     "additive_regression": "rolling_origin_refit",
     "elastic_net": "rolling_origin_refit_causal_features",
     "calendar_elastic_net": "preprocessed_tabular_one_fit",
-    "knn_forecast": "preprocessed_tabular_one_fit",
+    "knn_forecast": "rolling_origin_refit_causal_features",
     "tree_forecast": "preprocessed_tabular_one_fit",
 }
 

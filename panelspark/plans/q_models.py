@@ -334,10 +334,34 @@ MODELS = {
     "additive_regression": ("additive_regression", {"shape": L.Additive(seasons=L.SEASONS["monthly"])}),
     "elastic_net": ("elastic_net", {"alpha": 0.05}),
     "calendar_elastic_net": ("calendar_elastic_net", {}),
-    "knn": ("knn_forecast", {"lags": (3, 12), "weights": "distance"}),
+    "knn": ("knn_forecast", {"lags": (1, 2, 12), "weights": "distance"}),
     "random_forest": ("tree_forecast", {"kind": "random_forest"}),
     "boosted_trees": ("tree_forecast", {"kind": "gbt"}),
 }
+
+
+def _knn_step(k: int, l1: str, l2: str, back: int, source: str) -> str:
+    """One step of every origin: its query, the five nearest rows before the origin, their mean by inverse distance."""
+    return f"""q{k} AS (SELECT {source}.*, {l1} AS a, {l2} AS b, h.target AS c FROM {source} JOIN ok h ON h.series_id = {source}.series_id AND h.pos = {source}.origin - {back}),
+d{k} AS (SELECT q.series_id, q.origin, t.target, sqrt((q.a - l1) * (q.a - l1) + (q.b - l2) * (q.b - l2) + (q.c - l12) * (q.c - l12)) AS d, t.pos FROM q{k} q JOIN fe t ON t.series_id = q.series_id AND t.pos < q.origin AND l12 IS NOT NULL),
+r{k} AS (SELECT *, row_number() OVER (PARTITION BY series_id, origin ORDER BY d, pos) AS rk FROM d{k}),
+s{k} AS (SELECT q{k}.* EXCLUDE (a, b, c), y{k} FROM q{k} JOIN (SELECT series_id, origin, CASE WHEN min(d) = 0 THEN avg(target) FILTER (d = 0) ELSE sum(target / nullif(d, 0)) / sum(1 / nullif(d, 0)) END AS y{k} FROM r{k} WHERE rk <= 5 GROUP BY 1, 2) USING (series_id, origin))"""
+
+
+KNN = ",\n".join(
+    [
+        "fe AS (SELECT series_id, pos, target, lag(target) OVER w AS l1, lag(target, 2) OVER w AS l2, lag(target, 12) OVER w AS l12 FROM ok WINDOW w AS (PARTITION BY series_id ORDER BY pos))",
+        "s0 AS (SELECT DISTINCT o.series_id, o.origin, x.target AS p1, y.target AS p2 FROM org o JOIN ok x ON x.series_id = o.series_id AND x.pos = o.origin - 1 JOIN ok y ON y.series_id = o.series_id AND y.pos = o.origin - 2)",
+        _knn_step(1, "p1", "p2", 12, "s0"), _knn_step(2, "y1", "p1", 11, "s1"), _knn_step(3, "y2", "y1", 10, "s2"),
+    ]
+)
+#: Every series of the panel has a row: scores, or why it can't be split.
+SETTLED = """SELECT p.series_id, '{name}' AS model, rejected, coalesce(c, 0) AS n_predictions, round(mae, 6) AS mae, round(mae / scale, 6) AS mase FROM
+  (SELECT DISTINCT series_id, CASE WHEN n < 3 THEN 'fewer_than_three_observations' WHEN n_val < 3 OR n_test < 3 THEN 'no_complete_window' WHEN n_train < 30 THEN 'training_too_short' END AS rejected FROM parts) p
+  LEFT JOIN (SELECT series_id, count(*) AS c, avg(abs(y - yhat)) AS mae FROM pred GROUP BY 1) m ON m.series_id = p.series_id LEFT JOIN scl ON scl.series_id = p.series_id"""
+BACKTEST_SQL = {
+    "knn": with_sql(MONTHLY, POS, SPLIT, FIT, ORG, SCALE, KNN, "pred AS (SELECT org.series_id, org.target AS y, CASE step WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y3 END AS yhat FROM org JOIN s3 USING (series_id, origin))", tail=SETTLED.format(name="knn")),
+}
 for _name, (_model, _settings) in MODELS.items():
 
     def _run(spark, sf, _name=_name, _model=_model, _settings=_settings):
@@ -347,7 +371,7 @@ for _name, (_model, _settings) in MODELS.items():
         scores = scores.withColumn("model", F.lit(_name)).withColumn("n_predictions", F.coalesce("n_predictions", F.lit(0).cast("bigint")))
         return rounded(scores, ["mae", "mase"])
 
-    query(f"{_name}_backtest")(_run)
+    query(f"{_name}_backtest", BACKTEST_SQL.get(_name))(_run)
 
 
 @query(

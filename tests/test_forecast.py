@@ -197,7 +197,7 @@ def test_future_rows_change_nothing(spark, panel):
 
 def test_short_lags_refused(parts):
     with pytest.raises(ValueError):
-        L.knn_forecast(parts, SPEC, lags=(1, 12))
+        L.tree_forecast(parts, SPEC, lags=(1, 12))
     with pytest.raises(ValueError):
         L.tree_forecast(parts, SPEC, lags=(2,))
     with pytest.raises(ValueError):
@@ -264,3 +264,38 @@ def test_autoregression_without_lags_is_a_drift(spark):
     for r in got:
         drift = (y[r.origin - 1] - y[0]) / (r.origin - 1)
         assert r.yhat == pytest.approx(y[r.origin - 1] + r.step * drift, abs=1e-5)
+
+
+@pytest.mark.parametrize("partition", ["validation", "test"])
+def test_knn_forecasts_feed_its_lags(parts, panel, partition):
+    got = collect(L.knn_forecast(parts, SPEC, lags=(1, 2, 12), k=4, weights="distance", partition=partition))
+    lags, n_seen = (1, 2, 12), 0
+    for name, p in panel.items():
+        y = p.target.to_numpy()
+        first, val, test = sizes(len(y))
+        first, count = (first, val) if partition == "validation" else (first + val, test)
+        for origin in range(first, first + count, 3):
+            x = np.array([[y[t - v] for v in lags] for t in range(12, origin)])
+            line = list(y[:origin])  # all rows before the origin, those of validation too when the test part is forecast
+            for step in range(3):
+                d = np.sqrt(((x - np.array([line[-v] for v in lags])) ** 2).sum(axis=1))
+                near = np.lexsort((np.arange(len(d)), d))[:4]
+                line.append(float((y[12 + near] / d[near]).sum() / (1 / d[near]).sum()))
+                assert got[name, origin + step] == pytest.approx(line[-1], rel=1e-9)
+                n_seen += 1
+    assert n_seen == len(got)
+
+
+def test_nearest_rows_before_a_limit(spark):
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(400, 3))
+    train = spark.createDataFrame([("s", k, v.tolist(), float(k)) for k, v in enumerate(x)], "series_id string, id bigint, x array<double>, value double")
+    asked = [(7, 390), (8, 60), (9, 2), (10, 0)]
+    held = L.Neighbours(train, pivots=6, cell_rows=50)
+    queries = spark.createDataFrame([("s", q, x[q].tolist(), b) for q, b in asked], "series_id string, query_id bigint, x array<double>, before bigint")
+    got = {}
+    for r in held.search(queries, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    for q, b in asked:
+        d = np.sqrt(((x[:b] - x[q]) ** 2).sum(axis=1))
+        assert [i for _, i in sorted(got.get(q, []))] == np.lexsort((np.arange(b), d))[:5].tolist()
