@@ -359,7 +359,10 @@ def _spans(pieces: DataFrame) -> DataFrame:
         if len(head):
             size = head["size"].astype(np.int64)
             start = np.cumsum(size) - size
-            sign = Polynomial(data)(start, start + size)
+            sign = np.empty(len(size), U64)
+            for some in _blocks(start, size):
+                base = start[some.start]
+                sign[some] = Polynomial(data[base : start[some.stop - 1] + size[some.stop - 1]])(start[some] - base, start[some] + size[some] - base)
             order = np.lexsort((head["doc"], sign))
             first, which = runs(sign[order])
             least = head["doc"][order][first]
@@ -425,16 +428,35 @@ def _extended(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.
     fall into classes of SIEVE, and equal windows agree at least on what all of their class have.
     """
     rest = SPAN - ANCHOR
-    hashes = Polynomial(data)
+    classes = [(before, max(0, rest - (before + SIEVE - 1))) for before in range(0, rest + 1, SIEVE)]
+    sign, there = np.zeros((len(classes), len(start)), U64), np.zeros((len(classes), len(start)), bool)
+    order = np.argsort(start, kind="stable")
+    start, size, anchor = start[order], size[order], anchor[order]
+    for some in _blocks(start, size):
+        base = start[some.start]
+        hashes = Polynomial(data[base : start[some.stop - 1] + size[some.stop - 1]])
+        for k, (before, behind) in enumerate(classes):
+            low, high = anchor[some] - before, anchor[some] + ANCHOR + behind
+            mine = some.start + np.flatnonzero((low >= 0) & (high <= size[some]))
+            there[k, mine] = True
+            sign[k, mine] = hashes(start[mine] - base + anchor[mine] - before, start[mine] - base + anchor[mine] + ANCHOR + behind)
     keep = np.zeros(len(start), bool)
-    for before in range(0, rest + 1, SIEVE):
-        behind = max(0, rest - (before + SIEVE - 1))
-        low, high = anchor - before, anchor + ANCHOR + behind
-        there = np.flatnonzero((low >= 0) & (high <= size))
-        sign = hashes(start[there] + low[there], start[there] + high[there])
-        _, which, count = np.unique(sign, return_inverse=True, return_counts=True)
-        keep[there] |= count[which] > 1
-    return keep
+    for k in range(len(classes)):
+        mine = np.flatnonzero(there[k])
+        _, which, count = np.unique(sign[k, mine], return_inverse=True, return_counts=True)
+        keep[mine] |= count[which] > 1
+    out = np.zeros(len(start), bool)
+    out[order] = keep
+    return out
+
+
+def _blocks(start: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+    """Stretches of strings that follow each other in a block, of about STRETCH bytes each or of one string: hashing takes 50 bytes a byte."""
+    low = 0
+    while low < len(start):
+        high = max(low + 1, int(np.searchsorted(start + size, start[low] + STRETCH, "right")))
+        yield slice(low, high)
+        low = high
 
 
 def _cover(head: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
