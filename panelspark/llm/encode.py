@@ -9,7 +9,6 @@ their own; a text that holds any is cut around them first.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,9 @@ from .blocks import remembered
 
 #: Pieces that a worker gathers before it sets the oldest aside (a cache: results don't depend on it).
 REMEMBERED = 300_000
-CROWDED = re.compile(r" (?=\s)"), re.compile(r"[^\S ] ")
+#: What ``str.isspace`` says, as a class; empty texts and those with a space that isn't a single one between two other characters.
+SPACES = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+CROWDED = rf"\A\z|\A{SPACES}| \z| {SPACES}|{SPACES} "
 WORD = re.compile(" [^ ]*")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Pieces of Latin letters, ASCII marks without the apostrophe, and single line ends: each run of letters, with the
@@ -28,6 +29,7 @@ LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 SIMPLE = re.compile(rf" ?[{LETTERS}]+[{MARKS}]*(?:\n[{LETTERS}]+[{MARKS}]*)*")
 RUN = re.compile(rf" ?[{LETTERS}]+")
 RUNS = re.compile(rf" ?[{LETTERS}]+|[{MARKS}]+|\n")
+SIGNS = "".join(re.findall(f"[{MARKS}]", "".join(map(chr, range(128)))))
 #: Pieces that one call of the tokenizer gets, and bytes of text that should be encoded together.
 CALL, STEP = 4096, 4 << 20
 
@@ -68,8 +70,10 @@ class Encoder:
         values = column.to_pylist()
         if self.added is None:
             return [np.array(ids, "<u4") for low in range(0, len(values), CALL) for ids in self.encode(values[low : low + CALL])]
-        even = np.array([self._even(t) and not any(name in t for name in self.added) for t in values], bool)
-        odd = {k: [piece for part in self._apart(values[k]) for piece in CUT.split(part)] for k in np.flatnonzero(~even).tolist()}
+        even = ~np.asarray(pc.match_substring_regex(column, CROWDED).to_numpy(zero_copy_only=False), bool)
+        for name in self.added:
+            even &= ~np.asarray(pc.match_substring(column, name).to_numpy(zero_copy_only=False), bool)
+        odd = {k: b"".join(self._bodies([piece for part in self._apart(values[k]) for piece in CUT.split(part)])) for k in np.flatnonzero(~even).tolist()}
         split = pc.split_pattern(column.filter(pa.array(even)), " ")
         words, at = split.flatten(), np.asarray(split.offsets, np.int64)
         coded = words.dictionary_encode()
@@ -77,20 +81,14 @@ class Encoder:
         unit = np.array(coded.indices, np.int64)
         unit[at[:-1]] = len(units) + np.arange(len(at) - 1)  # nothing stands before the first word of a text
         units += words.take(pa.array(at[:-1])).to_pylist()
-        self._remember(set(chain(units, *odd.values())))
-        ids, bounds = self._gather([self.known[u] for u in units], unit, at)
+        ids, bounds = self._gather(self._bodies(units), unit, at)
         rows = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, odd[k])), "<u4") if k in odd else ids[slice(*next(rows))] for k in range(len(values))]
+        return [np.frombuffer(odd[k], "<u4") if k in odd else ids[slice(*next(rows))] for k in range(len(values))]
 
     def _apart(self, text: str) -> list[str]:
         """Added tokens of a text and what stands before, between and after them."""
         return self.around.split(text) if self.around else [text]
 
-    @staticmethod
-    def _even(text: str) -> bool:
-        """Whether every space of the text is a single one between two characters that aren't white space."""
-        return bool(text) and not text[0].isspace() and text[-1] != " " and not any(c.search(text) for c in CROWDED)
-
     def _listed(self, words: pa.Array) -> list[str]:
         """Words without spaces as a list, the blank before each if the tokenizer keeps it; one conversion for all."""
         whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
@@ -109,35 +107,52 @@ class Encoder:
         places = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[unit] - ends[:-1], counts)
         return pool[places], ends[at]
 
-    def _remember(self, pieces: set[str]) -> None:
-        """Makes the ids of all pieces known."""
+    def _bodies(self, pieces: list[str]) -> list[bytes]:
+        """The ids of every piece; those that aren't known are learned together."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new = []
-        for piece in pieces.difference(self.known):
-            found = self.older.get(piece)
-            if found is None:
-                new.append(piece)
+        found = list(map(self.known.get, pieces))
+        missing = [k for k, body in enumerate(found) if body is None]
+        self._learn([pieces[k] for k in missing])
+        for k in missing:
+            found[k] = self.known[pieces[k]]
+        return found
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Makes the ids of all pieces known, by way of their runs where these are encoded apart."""
+        known, recall = self.known, self.older.get
+        runs, marked, heads, lined, others = [], [], [], [], []
+        for piece in dict.fromkeys(pieces):
+            if (body := recall(piece)) is not None:
+                known[piece] = body
+            elif RUN.fullmatch(head := piece.rstrip(SIGNS)):
+                if len(head) == len(piece):
+                    runs.append(piece)
+                else:
+                    marked.append(piece)
+                    heads.append(head)
             else:
-                self.known[piece] = found
-        made, runs, others = {}, set(), []
-        for piece in new:
-            if RUN.fullmatch(piece):
-                runs.add(piece)
-            elif SIMPLE.fullmatch(piece):
-                made[piece] = parts = RUNS.findall(piece)
-                runs.update(parts)
+                (lined if SIMPLE.fullmatch(piece) else others).append(piece)
+        parts = dict.fromkeys(heads)
+        parts.update((piece[len(head) :], None) for piece, head in zip(marked, heads))
+        for piece in lined:
+            parts.update(dict.fromkeys(RUNS.findall(piece)))
+        asked = set(runs)
+        for part in parts:
+            if part in known or part in asked:
+                continue
+            if (body := recall(part)) is not None:
+                known[part] = body
             else:
-                others.append(piece)
-        runs.difference_update(self.known)
-        letters = [r for r in runs if r[-1].isalpha()]
-        others += [r for r in runs if not r[-1].isalpha()]
-        others += self._learn_runs([r for r in letters if r[0] == " "], "") + self._learn_runs([r for r in letters if r[0] != " "], "\n")
+                (runs if part[-1].isalpha() else others).append(part)
+        others += self._learn_runs([r for r in runs if r[0] == " "], "") + self._learn_runs([r for r in runs if r[0] != " "], "\n")
         for low in range(0, len(others), CALL):
-            part = others[low : low + CALL]
-            self.known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(part, self.encode(part)))
-        for piece, parts in made.items():
-            self.known[piece] = b"".join(map(self.known.__getitem__, parts))
+            some = others[low : low + CALL]
+            known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(some, self.encode(some)))
+        for piece, head in zip(marked, heads):
+            known[piece] = known[head] + known[piece[len(head) :]]
+        for piece in lined:
+            known[piece] = b"".join(map(known.__getitem__, RUNS.findall(piece)))
 
     def _learn_runs(self, runs: list[str], between: str) -> list[str]:
         """Learns runs of letters from one text for many, told apart by what opens or closes a word; returns those it couldn't tell apart."""

@@ -37,19 +37,29 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndar
             break
         code = (seq[:-1] << 32) | seq[1:]
         fine = ~last[:-1]
-        slot = (mix(code.astype(U64)) >> U64(44)).astype(np.int64)
+        slot = (mix(code.astype(U64)) >> U64(44)).astype(np.int32)
         often = np.flatnonzero(fine & (np.bincount(slot[fine], minlength=1 << 20)[slot] >= LEAST))
         if not len(often):
             break
-        pairs, which, count = np.unique(code[often], return_inverse=True, return_counts=True)
+        ranked = np.sort(code[often])
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        count = np.diff(np.concatenate((first, [len(ranked)])))
+        pairs, count = ranked[first[count >= LEAST]], count[count >= LEAST]
         order = np.lexsort((pairs, -count))[:PAIRS_A_ROUND]
-        order = order[count[order] >= LEAST]
         if not len(order):
             break
-        rank_of = np.full(len(pairs), len(order), np.int64)
-        rank_of[order] = np.arange(len(order))
-        rank = np.full(len(seq) + 1, len(order), np.int64)  # rank[i + 1] belongs to the pair at i
-        rank[often + 1] = rank_of[which]
+        sought = np.append(pairs[order], -1)  # by rank; the last is no pair's
+        rank = np.full(len(seq) + 1, len(order), np.int32)  # rank[i + 1] belongs to the pair at i
+        left = np.arange(len(order), dtype=np.int32)
+        while len(left):  # pairs that share a slot are looked up one after another, the more frequent first
+            own, first = np.unique((mix(sought[left].astype(U64)) >> U64(44)).astype(np.int64), return_index=True)
+            table = np.full(1 << 20, len(order), np.int32)
+            table[own] = left[first]
+            guess = table[slot[often]]
+            hit = sought[guess] == code[often]
+            rank[often[hit] + 1] = guess[hit]
+            left = np.delete(left, first)
+            often = often[~hit & (guess < len(order))]  # what is in the slot of a pair, but isn't this pair
         own = rank[1:-1]
         at = np.flatnonzero((own < len(order)) & (own < rank[:-2]) & (own <= rank[2:]))
         used = np.bincount(rank[at + 1], minlength=len(order))
@@ -116,14 +126,21 @@ class GrammarFile:
         self.first_symbol, self.first_token = take("<u4", self.n_docs + 1), take("<u4", self.n_docs + 1)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Token ids of symbols: every rule that occurs is expanded once, then all symbols are filled in."""
         seq = symbols.astype(np.int64)
-        while (rule := seq >= self.base).any():
+        used, place = np.unique(seq, return_inverse=True)
+        pool, sizes = used, np.where(used >= self.base, 0, 1)
+        sizes[used >= self.base] = self.lengths[used[used >= self.base] - self.base]
+        while (rule := pool >= self.base).any():
             times = 1 + rule
             start = np.cumsum(times) - times
-            pair = self.rules[seq[rule] - self.base]
-            seq = np.repeat(seq, times)
-            seq[start[rule]], seq[start[rule] + 1] = pair[:, 0], pair[:, 1]
-        return seq.astype("<u4")
+            pair = self.rules[pool[rule] - self.base]
+            pool = np.repeat(pool, times)
+            pool[start[rule]], pool[start[rule] + 1] = pair[:, 0], pair[:, 1]
+        starts, counts = np.cumsum(sizes) - sizes, sizes[place]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return pool.astype("<u4")[np.arange(total) + np.repeat(starts[place] - ends + counts, counts)]
 
     def document(self, k: int) -> np.ndarray:
         """Token ids of the k-th document of the file."""
