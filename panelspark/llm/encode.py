@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from .blocks import remembered
 
 #: Pieces that a worker gathers before it sets the oldest aside (a cache: results don't depend on it).
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: What ``str.isspace`` says, as a class; empty texts and those with a space that isn't a single one between two other characters.
 SPACES = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 CROWDED = rf"\A\z|\A{SPACES}| \z| {SPACES}|{SPACES} "
