@@ -494,16 +494,52 @@ def run_summaries_written(spark, sf):
     with_sql(TRIALS, tail="SELECT run_id, 'search-event-' || row_number() OVER (PARTITION BY run_id ORDER BY step) AS event_id, model AS event_type, step AS iteration FROM trials"),
 )
 def trace_events(spark, sf):
-    new = trials(spark, sf).select(
-        "run_id", _c("step").alias("arrival"), _c("model").alias("event_type"), F.lit("2024-01-01T00:00:00").alias("timestamp"), _c("step").alias("iteration"), F.lit("fuzzy").alias("influence_mode"),
-        F.concat(F.lit('{"mase":'), F.coalesce(_c("mase").cast("string"), F.lit("null")), F.lit("}")).alias("payload"),
-    )
+    new = _events(spark, sf)
     have = new.filter("arrival <= 100")
     first = W.events(have)
     later = W.events(new.filter("arrival > 100"), first)
     return first.unionByName(later).select("run_id", "event_id", "event_type", "iteration")
 
 
+def _events(spark, sf):
+    return trials(spark, sf).select(
+        "run_id", _c("step").alias("arrival"), _c("model").alias("event_type"), F.lit("2024-01-01T00:00:00").alias("timestamp"), _c("step").alias("iteration"), F.lit("fuzzy").alias("influence_mode"),
+        F.concat(F.lit('{"mase":'), F.coalesce(_c("mase").cast("string"), F.lit("null")), F.lit("}")).alias("payload"),
+    )
+
+
+@query(
+    "trace_appended_again",
+    with_sql(TRIALS, tail="SELECT run_id, step // 8 AS batch_id, 'search-event-' || row_number() OVER (PARTITION BY run_id ORDER BY step) AS event_id, model AS event_type, step AS iteration FROM trials"),
+)
+def trace_appended_again(spark, sf):
+    """Events written in batches, the first delivered again with the others, all of them twice: each is there once."""
+    path = _fresh(spark, "trace")
+    new = _events(spark, sf).withColumn("batch_id", F.floor(_c("arrival") / 8))
+    for batch in (new.filter("batch_id = 0"), new, new):
+        W.append_events(batch, path)
+    return W.stored(spark, path).select("run_id", "batch_id", "event_id", "event_type", "iteration")
+
+
+@query(
+    "run_outputs_appended",
+    with_sql(TRIALS, tail="""SELECT 'history' AS kind, run_id, step, model AS name, round(mase, 6) AS value FROM trials
+      UNION ALL SELECT 'manifest', run_id, count(*), 'fuzzy', NULL FROM trials GROUP BY run_id"""),
+)
+def run_outputs_appended(spark, sf):
+    """Histories and manifests appended in parts that overlap, read back."""
+    rows = trials(spark, sf).select("run_id", "step", "model", "mase")
+    runs = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("maximum_valid_trainings")).withColumn("influence_mode", F.lit("fuzzy"))
+    history, manifests = _fresh(spark, "history"), _fresh(spark, "manifests")
+    for part in (rows.filter("step % 2 = 0"), rows, rows):
+        W.append_once(part, history, ["run_id", "step"])
+    for _ in range(2):
+        W.append_once(W.manifest(runs), manifests, ["run_id"])
+    told = W.stored(spark, history).select(F.lit("history").alias("kind"), "run_id", "step", _c("model").alias("name"), F.round("mase", 6).alias("value"))
+    known = W.stored(spark, manifests)
+    return told.unionByName(known.select(F.lit("manifest").alias("kind"), "run_id", _c("maximum_valid_trainings").alias("step"), _c("influence_mode").alias("name"), F.lit(None).cast("double").alias("value")))
+
+
 @query(
     "run_manifests",
     "SELECT l_suppkey AS run_id, 42 AS seed, 'fuzzy' AS influence_mode, 30 AS maximum_valid_trainings, 3 AS forecast_horizon, count(*)::VARCHAR AS semantic_document_filtering FROM lineitem GROUP BY 1",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import safe_run_id, test_fields
@@ -43,10 +46,11 @@ def events(new: DataFrame, trace: DataFrame | None = None) -> DataFrame:
     """Numbered trace events to append: (run_id, event_id, event_no, ...); held-out fields are refused.
 
     ``new``: run_id, arrival, event_type, timestamp, iteration, influence_mode, payload (JSON).
+    Numbers go on from the last one that ``trace`` has for the run, whether or not it has all before it.
     """
     rows = with_position(new, "run_id", "arrival", pos="event_no", n=None)
     if trace is not None:
-        have = trace.groupBy("run_id").agg(F.count(F.lit(1)).alias("_have"))
+        have = trace.groupBy("run_id").agg(F.max("event_no").alias("_have"))
         rows = rows.join(have, "run_id", "left").withColumn("event_no", F.col("event_no") + F.coalesce("_have", F.lit(0))).drop("_have")
     rows = rows.withColumn("event_no", F.col("event_no") + 1).withColumn("event_id", F.concat(F.lit("search-event-"), F.col("event_no").cast("string")))
     refused = F.raise_error(F.lit("held-out field in a trace event")).cast("string")
@@ -57,6 +61,49 @@ def events(new: DataFrame, trace: DataFrame | None = None) -> DataFrame:
     return rows
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that earlier appends left at ``path``; None where there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # a first append that was lost may have left a folder without any result
+    if not files.exists(folder) or not any(f.getPath().getName().endswith(".parquet") for f in files.listStatus(folder)):
+        return None
+    return spark.read.parquet(path)
+
+
+def unseen(new: DataFrame, have: DataFrame | None, identity: Sequence[str]) -> DataFrame:
+    """Rows of ``new`` whose identity ``have`` doesn't hold, one of each: the least by its other columns.  Nulls are equal to each other."""
+    rest = [c for c in new.columns if c not in identity]
+    one = new.groupBy(*identity).agg(F.min(F.struct(*rest)).alias("_rest")) if rest else new.distinct().withColumn("_rest", F.struct(F.lit(0)))
+    one = one.select(*[F.col("_rest")[c].alias(c) if c in rest else F.col(c) for c in new.columns])
+    if have is None:
+        return one
+    same = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in identity])
+    return one.alias("n").join(have.select(*identity).alias("h"), same, "left_anti")
+
+
+def append_once(new: DataFrame, path: str, identity: Sequence[str]) -> None:
+    """Appends rows to a Parquet table at most once each, so that a job that is repeated, in whole or in part, adds only what is missing.
+
+    ``identity`` names the columns that tell rows apart, e.g. run and step of a history, run, origin
+    and position of predictions, run of a manifest.  One writer at a time.
+    """
+    unseen(new, stored(new.sparkSession, path), identity).write.mode("append").parquet(path)
+
+
+def append_events(new: DataFrame, path: str) -> None:
+    """Appends trace events, each (run_id, batch_id, arrival) once, numbered after the last event of its run.
+
+    ``new``: as for ``events``, and batch_id, the same whenever the batch is delivered again.  An
+    event without a run fails the job.
+    """
+    kind = new.schema["run_id"].dataType
+    new = new.withColumn("run_id", F.coalesce("run_id", F.raise_error(F.lit("an event without run_id")).cast(kind)))
+    have = stored(new.sparkSession, path)
+    fresh = unseen(new, have, ["run_id", "batch_id", "arrival"])
+    events(fresh, have).write.mode("append").parquet(path)
+
+
 def manifest(runs: DataFrame) -> DataFrame:
     """One manifest row per run: the allowed fields that are known."""
     return runs.select("run_id", *[c for c in MANIFEST_FIELDS if c in runs.columns])
