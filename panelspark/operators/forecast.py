@@ -637,16 +637,18 @@ PROTOCOLS: dict[str, str] = {
     "calendar_elastic_net": "preprocessed_tabular_one_fit",
     "knn_forecast": "rolling_origin_refit_causal_features",
     "tree_forecast": "preprocessed_tabular_one_fit",
+    "boosted_forecast": "rolling_origin_refit_causal_features",
 }
 
 
 def forecast(model: str, parts: DataFrame, spec: SplitSpec, partition: str = "validation", **settings) -> DataFrame:
     """Predictions of a model by name: (series, origin, step, pos, date, y, yhat)."""
     from .backtest import seasonal_naive
+    from .boosting import boosted_forecast
 
     known = {
         "seasonal_naive": seasonal_naive, "ar_ols": ar_ols, "exponential_smoothing": exponential_smoothing, "additive_regression": additive_regression,
-        "elastic_net": elastic_net, "calendar_elastic_net": calendar_elastic_net, "knn_forecast": knn_forecast, "tree_forecast": tree_forecast,
+        "elastic_net": elastic_net, "calendar_elastic_net": calendar_elastic_net, "knn_forecast": knn_forecast, "tree_forecast": tree_forecast, "boosted_forecast": boosted_forecast,
     }
     if model not in known:
         raise ValueError(f"unknown model: {model}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and read it back.
+
+    For long loops: a checkpointed table keeps the size that was estimated for its plan, and joined with itself round
+    after round that estimate grows to a number of millions of digits.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach: the one named in ``spark.checkpoint.dir``, else one made for tests; a cluster must name it."""
     context = spark.sparkContext
