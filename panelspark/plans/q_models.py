@@ -13,11 +13,13 @@ from ..operators import preprocess as P
 from ..operators import split as J
 from ..operators.lineage import cut
 from .panels import DAILY, MONTHLY, POS, SPLIT, WEEKLY, daily, monthly, table, weekly, with_sql
-from .q_panel import SPEC, TRAIN, rounded, season_and_lag, train_of
+from .q_panel import RESID, SEASON, SPEC, TRAIN, _acf_sql, rounded, season_and_lag, train_of
 from .registry import query
 
 KEY = "series_id"
 FIT = "ok AS (SELECT * FROM parts WHERE n_train >= 30 AND n_val >= 3 AND n_test >= 3)"
+#: Every series of the panel, and why it can't be split.
+REASONS = """(SELECT DISTINCT series_id, CASE WHEN n < 3 THEN 'fewer_than_three_observations' WHEN n_val < 3 OR n_test < 3 THEN 'no_complete_window' WHEN n_train < 30 THEN 'training_too_short' END AS rejected FROM parts)"""
 
 
 def _parts(panel):
@@ -102,7 +104,18 @@ def mase_reference(spark, sf):
     return rounded(V.mase_reference(parts.filter("split = 'train'"), _periods(parts)), ["scale"])
 
 
-@query("mase_reference_detected")
+_CANDIDATES, _DEFAULT = D.PERIODS["monthly"][1:]
+DETECTED = """per AS (SELECT series_id, n_train, CASE WHEN seasonality_detected AND usable THEN seasonal_periods ELSE 1 END AS period, CASE WHEN NOT seasonality_detected THEN 'nonseasonal_detector'
+    WHEN usable THEN 'detected_seasonality_period' ELSE 'detected_period_unavailable' END AS period_source
+  FROM (SELECT f.*, n_train, seasonal_periods > 1 AND n_train >= 2 * seasonal_periods AS usable FROM found f JOIN (SELECT series_id, any_value(n_train) AS n_train FROM ok GROUP BY 1) USING (series_id))),
+gap AS (SELECT a.series_id, avg(abs(a.target - b.target)) AS scale FROM per JOIN ok a ON a.series_id = per.series_id AND a.split = 'train' JOIN ok b ON b.series_id = a.series_id AND b.pos = a.pos - period GROUP BY 1)"""
+
+
+@query(
+    "mase_reference_detected",
+    with_sql(MONTHLY, POS, SPLIT, FIT, TRAIN, RESID, _acf_sql(str(sorted({*range(1, 101), *_CANDIDATES}))), SEASON.format(cands=_CANDIDATES, default=_DEFAULT, longest=max(_CANDIDATES)), DETECTED,
+             tail="SELECT p.series_id, n_train, period, period_source, CASE WHEN scale >= 1e-10 THEN round(scale, 6) END AS scale, CASE WHEN n_train IS NOT NULL THEN coalesce(scale >= 1e-10, false) END AS defined, rejected FROM " + REASONS + " p LEFT JOIN per ON per.series_id = p.series_id LEFT JOIN gap ON gap.series_id = p.series_id"),
+)
 def mase_reference_detected(spark, sf):
     """The period found by the diagnostics, carried into the one denominator of each series."""
     panel = monthly(spark, sf)
@@ -357,8 +370,7 @@ KNN = ",\n".join(
 )
 #: Every series of the panel has a row: scores, or why it can't be split.
 SETTLED = """SELECT p.series_id, '{name}' AS model, rejected, coalesce(c, 0) AS n_predictions, round(mae, 6) AS mae, round(mae / scale, 6) AS mase FROM
-  (SELECT DISTINCT series_id, CASE WHEN n < 3 THEN 'fewer_than_three_observations' WHEN n_val < 3 OR n_test < 3 THEN 'no_complete_window' WHEN n_train < 30 THEN 'training_too_short' END AS rejected FROM parts) p
-  LEFT JOIN (SELECT series_id, count(*) AS c, avg(abs(y - yhat)) AS mae FROM pred GROUP BY 1) m ON m.series_id = p.series_id LEFT JOIN scl ON scl.series_id = p.series_id"""
+  """ + REASONS + """ p LEFT JOIN (SELECT series_id, count(*) AS c, avg(abs(y - yhat)) AS mae FROM pred GROUP BY 1) m ON m.series_id = p.series_id LEFT JOIN scl ON scl.series_id = p.series_id"""
 BACKTEST_SQL = {
     "knn": with_sql(MONTHLY, POS, SPLIT, FIT, ORG, SCALE, KNN, "pred AS (SELECT org.series_id, org.target AS y, CASE step WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y3 END AS yhat FROM org JOIN s3 USING (series_id, origin))", tail=SETTLED.format(name="knn")),
 }
