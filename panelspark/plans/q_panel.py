@@ -278,7 +278,26 @@ def _all_panels(spark, sf):
     return out
 
 
-@query("frequency_periods")
+ALL_PANELS = [*[_sql.replace("panel AS (", f"{_name}_panel AS (", 1) for _name, (_, _sql) in PANELS.items()],
+              "panel AS (" + " UNION ALL ".join(f"SELECT '{_name}/' || series_id AS series_id, CAST(date AS TIMESTAMP) AS date, target FROM {_name}_panel" for _name in PANELS) + ")"]
+# strict names of constant steps and month starts; these panels have neither month ends nor working days alone
+STEADY = """moved AS (SELECT *, epoch(date)::BIGINT - epoch(lag(date) OVER w)::BIGINT AS u, (year(date) * 12 + month(date)) - lag(year(date) * 12 + month(date)) OVER w AS mo FROM (SELECT DISTINCT series_id, date FROM panel) WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+std AS (SELECT series_id, min(u) AS u0, max(u) AS u1, min(mo) AS m0, max(mo) AS m1, bool_and(day(date) = 1 AND date = date_trunc('day', date)) AS starts, min(isodow(date)) AS wd FROM moved GROUP BY 1),
+nmd AS (SELECT o.series_id, tolerant_freq, CASE WHEN n < 3 THEN NULL WHEN starts AND m0 = m1 AND m0 = 1 THEN 'MS' WHEN u0 <> u1 THEN NULL
+    WHEN u0 % 604800 = 0 THEN CASE WHEN u0 > 604800 THEN (u0 // 604800)::VARCHAR ELSE '' END || 'W-' || list_extract(['MON','TUE','WED','THU','FRI','SAT','SUN'], wd::INT)
+    WHEN u0 % 86400 = 0 THEN CASE WHEN u0 > 86400 THEN (u0 // 86400)::VARCHAR ELSE '' END || 'D'
+    WHEN u0 % 3600 = 0 THEN CASE WHEN u0 > 3600 THEN (u0 // 3600)::VARCHAR ELSE '' END || 'h' END AS strict_freq FROM ({scores}) o JOIN std USING (series_id)),
+nam AS (SELECT *, coalesce(strict_freq, tolerant_freq) AS freq, coalesce(try_cast(nullif(regexp_extract(coalesce(strict_freq, tolerant_freq), '^[0-9]+'), '') AS INT), 1) AS every FROM nmd),
+fam AS (SELECT *, CASE WHEN freq = 'unknown' THEN 'unknown' WHEN freq LIKE '%h' THEN 'hourly' WHEN freq LIKE 'QS%' THEN 'quarterly' WHEN freq LIKE 'YS%' THEN 'yearly' WHEN freq LIKE 'M%' THEN 'monthly' WHEN freq LIKE '%W-%' THEN 'weekly' ELSE 'daily' END AS family FROM nam)"""
+PERIOD_TABLE = """SELECT series_id, freq, strict_freq, tolerant_freq, family,
+  CASE family WHEN 'hourly' THEN greatest(1, round(24e0 / every)::INT) || ',' || greatest(1, round(168e0 / every)::INT) WHEN 'quarterly' THEN '4,8' WHEN 'yearly' THEN '1,2' WHEN 'monthly' THEN '6,12,24'
+    WHEN 'weekly' THEN '4,13,26,52' WHEN 'daily' THEN '7,14,30,90,365' ELSE '7,30' END AS lags_to_check,
+  CASE family WHEN 'hourly' THEN greatest(1, round(24e0 / every)::INT) || ',' || greatest(1, round(168e0 / every)::INT) WHEN 'quarterly' THEN '4,8' WHEN 'yearly' THEN '1,2' WHEN 'monthly' THEN '6,12,24'
+    WHEN 'weekly' THEN '4,13,26,52' WHEN 'daily' THEN '7,14,30,90,365' ELSE '7,12,24,30,52,365' END AS candidate_periods,
+  (CASE family WHEN 'hourly' THEN greatest(1, round(24e0 / every)::INT) WHEN 'quarterly' THEN 4 WHEN 'yearly' THEN 1 WHEN 'monthly' THEN 12 WHEN 'weekly' THEN 52 ELSE 7 END)::INT AS default_period FROM fam"""
+
+
+@query("frequency_periods", with_sql(*ALL_PANELS, FREQ, STEADY.format(scores=FREQOUT), tail=PERIOD_TABLE))
 def frequency_periods(spark, sf):
     freqs = D.frequency_scores(_all_panels(spark, sf)).select("series_id", "freq", "strict_freq", "tolerant_freq")
     out = D.period_config(freqs)
