@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.fuzzy import clamp, gap_potential, relative_gain, smoothstep
 from . import ledger as L
-from .lineage import cut
+from .lineage import cut, stored
 from .ordered import attach
 from .quantiles import exact_median
 
@@ -119,18 +119,26 @@ def resolved_signals(trials: DataFrame, analytics: DataFrame) -> DataFrame:
 
     ``trials`` carry seasonal (text), yearly (boolean), difference_order, steps (names) and lags.
     """
-    wanted = analytics.select(RUN, "suggested_lag", "seasonal_periods")
-    rows = attach(trials, wanted, RUN, "step")
+    wanted = analytics.select(RUN, "seasonal_periods", F.coalesce("suggested_lag", "seasonal_periods").alias("_lag"))
     model = F.col("model")
     has = lambda *names: F.arrays_overlap("steps", F.array(*[F.lit(n) for n in names]))
-    season = (model == "SARIMA") | ((model == "ETS") & F.col("seasonal").isin("add", "mul") & (F.col("seasonal_periods") > 0)) | ((model == "Prophet") & F.col("yearly"))
+    season = (model == "SARIMA") | ((model == "Prophet") & F.col("yearly"))
     trend = (model == "Prophet") | (model.isin("ARIMA", "SARIMA") & (F.col("difference_order") > 0)) | has("calendar_features")
-    lag = F.coalesce("suggested_lag", "seasonal_periods")
-    acf = model.isin("ARIMA", "SARIMA") | (has("lag_features") & F.coalesce(F.array_contains("lags", lag), F.lit(False)))
     curved = F.col("family").isin("Tree-based", "Neural", "Transformer/Foundation") | model.isin("KNN", "SVR")
     scaled = has("standard_scaler", "minmax_scaler", "log_transform", "boxcox_transform")
-    flags = {"seasonality": season, "trend": trend, "autocorrelation": acf, "nonlinearity": curved, "scale_sensitivity": scaled}
-    s = rows.groupBy(RUN).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in flags.items()])
+    flags = {
+        "seasonality": season, "_periodic": (model == "ETS") & F.col("seasonal").isin("add", "mul"), "trend": trend,
+        "autocorrelation": model.isin("ARIMA", "SARIMA"), "nonlinearity": curved, "scale_sensitivity": scaled,
+    }
+    any_of = lambda columns: [F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in columns.items()]
+    # what depends on the run's analytics is decided per run, not per trial
+    lags = trials.filter(has("lag_features")).select(RUN, F.explode("lags").alias("_lag")).distinct()
+    lagged = lags.join(wanted.select(RUN, "_lag"), [RUN, "_lag"]).select(RUN).distinct().withColumn("_lagged", F.lit(True))
+    s = trials.groupBy(RUN).agg(*any_of(flags)).join(wanted, RUN).join(lagged, RUN, "left")
+    flags = {k: F.col(k) for k in flags if k != "_periodic"}
+    flags["seasonality"] = flags["seasonality"] | (F.col("_periodic") & (F.col("seasonal_periods") > 0))
+    flags["autocorrelation"] = flags["autocorrelation"] | F.coalesce("_lagged", F.lit(False))
+    s = s.groupBy(RUN).agg(*any_of(flags))
     long = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.col(k).alias("ok")) for k in flags]))
     return s.select(RUN, long.alias("x")).select(RUN, "x.*").filter("ok").select(RUN, "signal")
 
@@ -166,7 +174,9 @@ def search_dynamics(
     """
     c = F.col
     n_models, n_families = len(X.MODEL_FAMILY), len(X.FAMILIES)
-    rows = cut(L.with_gains(L.valid(trials)))
+    # only what is read below is written, column by column: it is the one table as long as the ledger
+    used = [RUN, "step", "model", "family", "mase", "signature", "uses_log", "seasonal", "yearly", "difference_order", "steps", "lags"]
+    rows = stored(L.with_gains(L.valid(trials).select(*used), before="before"))
     score, last = F.struct("mase", "step"), c("pos") == c("n") - 1
 
     # run level
@@ -176,14 +186,13 @@ def search_dynamics(
         F.max(F.when(last, c("mase"))).alias("latest"), F.max(F.when(last, c("gain"))).alias("last_gain"),
         F.avg(F.when(c("pos") >= c("n") - 3, c("gain"))).alias("recent_relative_improvement"),
         F.bool_or("uses_log").alias("_any_log"),
+        # a score and the best before it: the greater of the two is the second at that point
+        F.min(F.when(c("pos") > 0, F.greatest("mase", "before"))).alias("_second"),
     )
-    two = Window.partitionBy(RUN).orderBy("mase", "step")
-    second = rows.select(RUN, "mase", "step").withColumn("_r", F.row_number().over(two)).filter(c("_r") <= 2)
-    second = second.groupBy(RUN).agg(F.max("mase").alias("_second"))
     median = exact_median(rows, RUN, c("mase"), "_median", upper=True)
     moving = L.progress(rows, [RUN], window).select(RUN, c("recent_information_gain").alias("global_gain"), c("stagnation").alias("global_stagnation"), "since")
-    run = run.join(second, RUN).join(median, RUN).join(moving, RUN)
-    lead = clamp(relative_gain(c("_second"), c("incumbent")) / (10.0 * T))
+    run = run.join(median, RUN).join(moving, RUN)
+    lead = clamp(relative_gain(F.coalesce("_second", "incumbent"), c("incumbent")) / (10.0 * T))
     run = run.withColumn("incumbent_stability", clamp(clamp(c("since") / 3.0) * (0.75 + 0.25 * lead)))
     run = run.withColumn("absolute_incumbent_quality", clamp((1.35 - c("incumbent")) / 0.70))
     run = run.withColumn("relative_incumbent_quality", F.when(c("n") == 1, 0.5).otherwise(clamp(relative_gain(c("_median"), c("incumbent")) / 0.05)))
@@ -191,9 +200,9 @@ def search_dynamics(
     run = cut(run)
 
     # the model tried last
-    now = run.select(RUN, "current_model", "current_family", "incumbent")
-    mine = attach(rows.drop("pos", "n", "gain", "best", "since"), now, RUN, "step").filter(c("model") == c("current_model"))
-    own = cut(L.with_gains(mine))
+    now = run.select(RUN, c("current_model").alias("model"))
+    mine = attach(rows.select(RUN, "model", "step", "mase", "signature", "uses_log"), now, [RUN, "model"], "step")
+    own = stored(L.with_gains(mine))
     of_model = own.groupBy(RUN).agg(
         F.max("n").alias("model_trials"), F.avg(F.when(c("pos") >= c("n") - 2, c("gain"))).alias("_recent_model"),
         F.max(F.when(last, c("mase"))).alias("_latest_model"),
@@ -213,14 +222,14 @@ def search_dynamics(
     run = run.withColumn("model_refinement_maturity", clamp(maturity))
     run = run.withColumn("remaining_refinement_capacity", clamp((max_refinements - c("refinements")) / float(max(1, max_refinements))))
 
-    # families: one sequence per family, six at most
-    fam = cut(L.with_gains(rows.drop("pos", "n", "gain", "best", "since"), [RUN, "family"]))
+    # families: one sequence per family, six at most; models: 24 at most
+    models = cut(rows.groupBy(RUN, "model", "family").agg(F.min("mase").alias("_b")))
+    fam = L.with_gains(rows.select(RUN, "family", "step", "mase"), [RUN, "family"])
     stats = fam.groupBy(RUN, "family").agg(
         F.max("n").alias("attempts"), F.min("mase").alias("family_best"),
         F.avg(F.when(c("pos") >= c("n") - 3, c("gain"))).alias("_recent"),
         F.sum(((c("pos") > 0) & (c("gain") < T)).cast("bigint")).alias("_idle"),
-        F.size(F.collect_set("model")).alias("models_tried"),
-    ).join(L.progress(fam, [RUN, "family"], window).select(RUN, "family", c("stagnation").alias("family_stagnation")), [RUN, "family"])
+    ).join(models.groupBy(RUN, "family").agg(F.count(F.lit(1)).alias("models_tried")), [RUN, "family"]).join(L.progress(fam, [RUN, "family"], window).select(RUN, "family", c("stagnation").alias("family_stagnation")), [RUN, "family"])
     catalog = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(i).alias("family_no"), F.lit(sum(v == f for v in X.MODEL_FAMILY.values())).alias("models")) for i, f in enumerate(X.FAMILIES)])
     grid = run.select(RUN, F.explode(catalog).alias("f")).select(RUN, "f.*").join(stats, [RUN, "family"], "left")
     if priorities is not None:
@@ -293,8 +302,7 @@ def search_dynamics(
     run = run.withColumn("preprocessing_refinement_potential", clamp((1.0 - treated) * (0.65 + 0.35 * clamp(c("_wanted") / 2.0))))
 
     # dominance over the other models (23 at most)
-    rivals = rows.groupBy(RUN, "model", "family").agg(F.min("mase").alias("_b"))
-    rivals = rivals.join(run.select(RUN, "incumbent", "incumbent_model"), RUN).filter(c("model") != c("incumbent_model"))
+    rivals = models.join(run.select(RUN, "incumbent", "incumbent_model"), RUN).filter(c("model") != c("incumbent_model"))
     gaps = rivals.groupBy(RUN).agg(
         F.sort_array(F.collect_list(F.greatest(F.lit(0.0), (c("_b") - c("incumbent")) / (F.abs("incumbent") + 1e-12)))).alias("_g"),
         F.size(F.collect_set("family")).alias("_rf"),

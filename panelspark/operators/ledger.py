@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.fuzzy import clamp, relative_gain, smoothstep
-from .ordered import attach, running, with_position
+from .ordered import BLOCK_ROWS, attach, by_size, running, with_position
 
 RUN = "run_id"
 THRESHOLD = 0.002
@@ -29,15 +29,40 @@ def valid(trials: DataFrame) -> DataFrame:
     return rows.filter(usable(F.col("mase")) & ~F.col("family").isin("", "Other"))
 
 
-def with_gains(trials: DataFrame, keys: str | list[str] = RUN, threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``pos``, ``n``, ``gain`` over the best before, ``best`` so far and trials ``since`` a meaningful gain."""
+def with_gains(trials: DataFrame, keys: str | list[str] = RUN, threshold: float = THRESHOLD, most: int = BLOCK_ROWS, before: str | None = None) -> DataFrame:
+    """Add ``pos``, ``n``, ``gain`` over the best before (``before``: under that name too), ``best`` so far and trials ``since`` a meaningful gain.
+
+    Runs of up to ``most`` trials take one shuffle, longer ones go block by block.
+    """
+    short, long = by_size(trials, keys, most)
+    w = Window.partitionBy(*([keys] if isinstance(keys, str) else keys))
+    steps = w.orderBy("step")
+    rows = short.withColumn("pos", (F.row_number().over(steps) - 1).cast("bigint")).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = rows.filter(F.col("step").isNotNull())
+    rows = rows.withColumn("_before", F.min("mase").over(steps.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("gain", _gain()).withColumn("best", F.least("_before", "mase"))
+    rows = rows.withColumn("_last", F.max(_mark(threshold)).over(steps.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("since", F.col("pos") - F.col("_last"))
+    rows = rows if long is None else rows.unionByName(_long_gains(long, keys, threshold))
+    rows = rows.drop("_last")
+    return rows.withColumnRenamed("_before", before) if before else rows.drop("_before")
+
+
+def _gain() -> Column:
+    return F.when(F.col("pos") == 0, 0.0).otherwise(relative_gain(F.col("_before"), F.col("mase")))
+
+
+def _mark(threshold: float) -> Column:
+    return F.when((F.col("pos") == 0) | (F.col("gain") >= max(threshold, EPS)), F.col("pos"))
+
+
+def _long_gains(trials: DataFrame, keys: str | list[str], threshold: float) -> DataFrame:
+    """``with_gains`` block by block, for runs of any length."""
     rows = with_position(trials, keys, "step")
     rows = running(rows, keys, {"_before": ("min", F.col("mase"), False)})
-    gain = F.when(F.col("pos") == 0, 0.0).otherwise(relative_gain(F.col("_before"), F.col("mase")))
-    rows = rows.withColumn("gain", gain).withColumn("best", F.least("_before", "mase"))
-    mark = F.when((F.col("pos") == 0) | (F.col("gain") >= max(threshold, EPS)), F.col("pos"))
-    rows = running(rows, keys, {"_last": ("max", mark, True)})
-    return rows.withColumn("since", F.col("pos") - F.col("_last")).drop("_before", "_last")
+    rows = rows.withColumn("gain", _gain()).withColumn("best", F.least("_before", "mase"))
+    rows = running(rows, keys, {"_last": ("max", _mark(threshold), True)})
+    return rows.withColumn("since", F.col("pos") - F.col("_last"))
 
 
 def recent_gains(gains: DataFrame, window: int = 5) -> DataFrame:
@@ -94,12 +119,13 @@ def tail_refinements(trials: DataFrame) -> DataFrame:
     The tail starts after the last trial of another model; its first trial counts only if the model
     was tried before.
     """
-    rows = attach(trials, last_model(trials), RUN, "step")
-    same = F.col("model") == F.col("current_model")
-    s = rows.groupBy(RUN, "current_model").agg(
-        F.max(F.when(~same, F.col("step"))).alias("_other"), F.min(F.when(same, F.col("step"))).alias("_first")
-    )
-    tail = attach(rows.select(RUN, "step"), s, RUN, "step").filter(F.col("_other").isNull() | (F.col("step") > F.col("_other")))
+    per_model = trials.groupBy(RUN, "model").agg(F.min("step").alias("_first"), F.max("step").alias("_to"))
+    now = F.max_by(F.struct("model", "_first"), "_to")
+    s = per_model.groupBy(RUN).agg(now.alias("_now")).select(RUN, F.col("_now.model").alias("current_model"), "_now._first")
+    others = per_model.join(s.select(RUN, "current_model"), RUN).filter(F.col("model") != F.col("current_model"))
+    s = s.join(others.groupBy(RUN).agg(F.max("_to").alias("_other")), RUN, "left")
+    # behind the last trial of another model there are only trials of this one
+    tail = attach(trials.select(RUN, "step"), s, RUN, "step").filter(F.col("_other").isNull() | (F.col("step") > F.col("_other")))
     return tail.groupBy(RUN, "current_model").agg(F.sum((F.col("step") > F.col("_first")).cast("bigint")).alias("consecutive_refinements"))
 
 
@@ -284,18 +310,21 @@ def stop_eligibility(
     ``trials`` are valid ones with uses_log and hyperparameters (text); ``settings``: run,
     log_recommended, log_supported.
     """
-    best = trials.groupBy(RUN).agg(
-        F.count(F.lit(1)).alias("valid_trainings"),
-        F.min_by("model", F.struct("mase", "step")).alias("best_model"),
-        F.bool_or(~F.col("uses_log")).alias("any_raw"),
+    # forms of a model, models of a run: groups of groups, so that trials meet their run's best model without a join
+    raw, log = F.bool_or(~F.col("uses_log")).alias("_r"), F.bool_or("uses_log").alias("_l")
+    first = F.min(F.struct("mase", "step")).alias("_k")
+    forms = trials.groupBy(RUN, "model", "hyperparameters").agg(F.count(F.lit(1)).alias("_c"), log, raw, first)
+    models = forms.groupBy(RUN, "model").agg(
+        F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_f"), F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r"), F.min("_k").alias("_k")
+    )
+    best = models.groupBy(RUN).agg(
+        F.sum("_c").alias("valid_trainings"), F.bool_or("_r").alias("any_raw"), F.min_by(F.struct("model", "_c", "_f", "_l", "_r"), "_k").alias("_b")
     )
-    mine = attach(trials, best.select(RUN, "best_model"), RUN, "step").filter(F.col("model") == F.col("best_model"))
-    forms = mine.groupBy(RUN, "hyperparameters").agg(F.count(F.lit(1)).alias("_c"), F.bool_or("uses_log").alias("_l"), F.bool_or(~F.col("uses_log")).alias("_r"))
-    of_best = forms.groupBy(RUN).agg(
-        F.sum("_c").alias("best_trials"), F.count(F.lit(1)).alias("distinct_hyperparameters"),
-        F.bool_or("_l").alias("log_evaluated"), F.bool_or("_r").alias("raw_evaluated"),
+    best = best.select(
+        RUN, "valid_trainings", "any_raw", F.col("_b.model").alias("best_model"), F.col("_b._c").alias("best_trials"),
+        F.col("_b._f").alias("distinct_hyperparameters"), F.col("_b._l").alias("log_evaluated"), F.col("_b._r").alias("raw_evaluated"),
     )
-    s = settings.join(best, RUN, "left").join(of_best, RUN, "left").fillna(
+    s = settings.join(best, RUN, "left").fillna(
         {"valid_trainings": 0, "best_trials": 0, "distinct_hyperparameters": 0, "log_evaluated": False, "raw_evaluated": False, "any_raw": False}
     )
     some = F.col("best_model").isNotNull()

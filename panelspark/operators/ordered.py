@@ -8,7 +8,8 @@ series is cut into pieces that shuffle independently:
                      copies of the few neighbour rows its frames reach into,
 * ``running``        evaluates unbounded prefix (or suffix) aggregates as block totals carried
                      over blocks plus an in-block window,
-* ``attach``         joins one row of per-key values back to the rows, salted.
+* ``attach``         joins one row of per-key values back to the rows, salted,
+* ``by_size``        tells the few keys that need pieces from the many that a plain window serves.
 
 All of them give exactly the rows of the plain window.
 """
@@ -16,11 +17,14 @@ All of them give exactly the rows of the plain window.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lineage import cut
+
 BLOCK_ROWS = 1 << 16
 SLICE_DAYS = 30
 SLICE_STEPS = 4096
@@ -43,6 +47,33 @@ def _slice(df: DataFrame, order: str, width: float | None) -> Column:
     return F.floor(F.col(order) / F.lit(float(width or SLICE_STEPS)))
 
 
+def by_size(df: DataFrame, key: str | Sequence[str], most: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys with at most ``most`` rows, rows of the longer keys or None where there are none).
+
+    Rows with a null key are left out, as by the joins of the functions below.  Of N rows at most
+    N / most keys are long, so their list is broadcast and the rows aren't shuffled for it.
+    """
+    keys = _keys(key)
+    known = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    long = cut(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > most).drop("_c"))
+    if long.isEmpty():
+        return known, None
+    return known.join(F.broadcast(long), keys, "left_anti"), known.join(F.broadcast(long), keys, "left_semi")
+
+
+def numbered(
+    df: DataFrame, key: str | Sequence[str], order: str, *, ties: Sequence[str] = (), pos: str = "pos", n: str | None = "n", most: int = BLOCK_ROWS
+) -> DataFrame:
+    """``with_position`` for many keys: those of up to ``most`` rows are shuffled once and numbered by a plain window."""
+    short, long = by_size(df, key, most)
+    w = Window.partitionBy(*_keys(key))
+    out = short.withColumn(pos, (F.row_number().over(w.orderBy(order, *ties)) - 1).cast("bigint"))
+    if n:
+        out = out.withColumn(n, F.count(F.lit(1)).over(w))
+    out = out.filter(F.col(order).isNotNull())  # counted, but left out, as there
+    return out if long is None else out.unionByName(with_position(long, key, order, ties=ties, pos=pos, n=n))
+
+
 def with_position(
     df: DataFrame,
     key: str | Sequence[str],

@@ -9,7 +9,7 @@ from ..operators import dynamics as Y
 from ..operators import fusion as N
 from ..operators import ledger as L
 from ..operators import metrics as V
-from ..operators.ordered import with_position
+from ..operators.ordered import numbered
 from .panels import table, with_sql
 from .q_fusion import unit
 from .q_panel import rounded
@@ -21,7 +21,7 @@ MODELS = list(X.MODEL_FAMILY)
 
 def trials(spark, sf):
     li = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", RUN)
-    rows = with_position(li, RUN, "l_orderkey", ties=["l_linenumber", "l_partkey", "l_extendedprice"], n=None)
+    rows = numbered(li, RUN, "l_orderkey", ties=["l_linenumber", "l_partkey", "l_extendedprice"], n=None)
     pct = lambda c: F.round(F.col(c) * 100).cast("bigint")
     mase = (50 + 5 * pct("l_discount") + pct("l_tax") + F.col("l_partkey") % 7) / F.lit(100.0)
     value = F.col("l_quantity").cast("bigint")
