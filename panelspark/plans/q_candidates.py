@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import candidates as C
 from ..operators import diagnostics as D
 from ..operators import split as J
-from ..operators.lineage import shared_folder
+from ..operators.lineage import shared_folder, stored
 from ..sources import results as W
 from ..sources import tables as R
 from .panels import DAILY, HOURLY, MONTHLY, POS, SPLIT, daily, hourly, monthly, table, with_sql
@@ -515,7 +515,7 @@ def _events(spark, sf):
 def trace_appended_again(spark, sf):
     """Events written in batches, the first delivered again with the others, all of them twice: each is there once."""
     path = _fresh(spark, "trace")
-    new = _events(spark, sf).withColumn("batch_id", F.floor(_c("arrival") / 8))
+    new = stored(_events(spark, sf).withColumn("batch_id", F.floor(_c("arrival") / 8)))
     for batch in (new.filter("batch_id = 0"), new, new):
         W.append_events(batch, path)
     return W.stored(spark, path).select("run_id", "batch_id", "event_id", "event_type", "iteration")
@@ -528,7 +528,7 @@ def trace_appended_again(spark, sf):
 )
 def run_outputs_appended(spark, sf):
     """Histories and manifests appended in parts that overlap, read back."""
-    rows = trials(spark, sf).select("run_id", "step", "model", "mase")
+    rows = stored(trials(spark, sf).select("run_id", "step", "model", "mase"))
     runs = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("maximum_valid_trainings")).withColumn("influence_mode", F.lit("fuzzy"))
     history, manifests = _fresh(spark, "history"), _fresh(spark, "manifests")
     for part in (rows.filter("step % 2 = 0"), rows, rows):

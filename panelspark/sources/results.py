@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import safe_run_id, test_fields
-from ..operators.ordered import with_position
+from ..operators.ordered import numbered
 
 # fixed values: the fields of a summary that concern results, in report order
 SUMMARY_FIELDS = [
@@ -48,7 +47,7 @@ def events(new: DataFrame, trace: DataFrame | None = None) -> DataFrame:
     ``new``: run_id, arrival, event_type, timestamp, iteration, influence_mode, payload (JSON).
     Numbers go on from the last one that ``trace`` has for the run, whether or not it has all before it.
     """
-    rows = with_position(new, "run_id", "arrival", pos="event_no", n=None)
+    rows = numbered(new, "run_id", "arrival", pos="event_no", n=None)
     if trace is not None:
         have = trace.groupBy("run_id").agg(F.max("event_no").alias("_have"))
         rows = rows.join(have, "run_id", "left").withColumn("event_no", F.col("event_no") + F.coalesce("_have", F.lit(0))).drop("_have")
@@ -74,12 +73,13 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 def unseen(new: DataFrame, have: DataFrame | None, identity: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose identity ``have`` doesn't hold, one of each: the least by its other columns.  Nulls are equal to each other."""
     rest = [c for c in new.columns if c not in identity]
-    one = new.groupBy(*identity).agg(F.min(F.struct(*rest)).alias("_rest")) if rest else new.distinct().withColumn("_rest", F.struct(F.lit(0)))
-    one = one.select(*[F.col("_rest")[c].alias(c) if c in rest else F.col(c) for c in new.columns])
-    if have is None:
-        return one
-    same = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in identity])
-    return one.alias("n").join(have.select(*identity).alias("h"), same, "left_anti")
+    # the rows of both tables meet by identity in one shuffle; what is held brings its identity only
+    body = F.struct(*[F.col(c) for c in rest], F.lit(0).alias("_new"))
+    both = new.select(*identity, body.alias("_rest"))
+    if have is not None:
+        both = both.unionByName(have.select(*identity, F.lit(None).cast(both.schema["_rest"].dataType).alias("_rest")))
+    one = both.groupBy(*identity).agg(F.min("_rest").alias("_rest"), F.bool_or(F.col("_rest").isNull()).alias("_held")).filter(~F.col("_held"))
+    return one.select(*[F.col("_rest")[c].alias(c) if c in rest else F.col(c).cast(new.schema[c].dataType) for c in new.columns])
 
 
 def append_once(new: DataFrame, path: str, identity: Sequence[str]) -> None:
