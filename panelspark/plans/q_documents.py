@@ -372,8 +372,8 @@ _ANY = " OR ".join(f"regexp_matches(x, '{p}')" for p in X.CLAIMS.values())
     SELECT doc_id, len(c) AS clauses, md5(array_to_string(list_filter(c, lambda x: NOT ({_ANY})), '; ')) AS kept FROM t""",
 )
 def claim_sanitising(spark, sf):
-    kept, _ = X.sanitize(F.col("finding"))
-    return _claims(spark, sf).select("doc_id", F.size(X.clauses(F.col("finding"))).cast("bigint").alias("clauses"), F.md5(kept).alias("kept"))
+    rows = _claims(spark, sf).select("doc_id", X.clauses(F.col("finding")).alias("parts"))
+    return rows.select("doc_id", F.size("parts").cast("bigint").alias("clauses"), F.md5(X.unclaimed(F.col("parts"))).alias("kept"))
 
 
 @query(
