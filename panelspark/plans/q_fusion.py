@@ -230,7 +230,8 @@ _MIX = {name: (3 + 2 * i, 7 * i + 1) for i, name in enumerate(N.CONTROL_INPUTS)}
 def _control_inputs(spark, sf):
     li = table(spark, sf, "lineitem")
     cols = [F.avg(((F.col("l_orderkey") * a + F.col("l_suppkey") * b + F.col("l_partkey")) % 100 >= (i * 13 + 7) % 100).cast("double")).alias(name) for i, (name, (a, b)) in enumerate(_MIX.items())]
-    return li.groupBy(F.col("l_partkey").alias("run_id")).agg(*cols)
+    # rows of a part meet before they are averaged: a task that sees all parts would hold all their sums
+    return li.select("l_orderkey", "l_suppkey", "l_partkey").repartition("l_partkey").groupBy(F.col("l_partkey").alias("run_id")).agg(*cols)
 
 
 CTRL = "inp AS (SELECT l_partkey AS run_id, " + ", ".join(
