@@ -240,17 +240,24 @@ def compress(docs: DataFrame, threshold: float = 1.0, text: str = "facts", **how
 def compression_audit(docs: DataFrame, threshold: float = 1.0, text: str = "facts", **how) -> DataFrame:
     """Per series: documents, facts, duplicates removed, characters before and after."""
     rows = facts(docs, text)
-    unique = exact_facts(rows)
+    unique = exact_facts(rows) if threshold < 1.0 else None
     groups = fact_components(unique, threshold, **how) if threshold < 1.0 else None
     reps = represent(rows, groups)
-    per_doc = reps.groupBy(KEY, DOC).agg((F.sum(F.length("fact")) + 2 * (F.count(F.lit(1)) - 1)).alias("_chars"))
-    after = per_doc.groupBy(KEY).agg(F.count(F.lit(1)).alias("documents_with_evidence"), F.sum("_chars").alias("compacted_characters"))
+    per_doc = reps.groupBy(KEY, DOC).agg(
+        (F.sum(F.length("fact")) + 2 * (F.count(F.lit(1)) - 1)).alias("_chars"), F.count(F.lit(1)).alias("_kept"), F.sum("occurrences").alias("_found")
+    )
+    after = per_doc.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("documents_with_evidence"), F.sum("_chars").alias("compacted_characters"), F.sum("_kept").alias("unique_facts"),
+        F.sum("_found").alias("_occurrences"),
+    )
     before = docs.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("documents_input"), F.sum(F.length(X.strip(F.col(text)))).alias("original_characters")
     )
-    exact = unique.groupBy(KEY).agg(F.sum("occurrences").alias("facts_input"), F.count(F.lit(1)).alias("_distinct"))
-    kept = reps.groupBy(KEY).agg(F.count(F.lit(1)).alias("unique_facts"))
-    out = before.join(exact, KEY).join(kept, KEY).join(after, KEY)
+    if unique is None:  # each distinct fact stands for itself: the facts need not be made twice
+        after = after.withColumn("facts_input", F.col("_occurrences")).withColumn("_distinct", F.col("unique_facts"))
+    else:
+        after = after.join(unique.groupBy(KEY).agg(F.sum("occurrences").alias("facts_input"), F.count(F.lit(1)).alias("_distinct")), KEY)
+    out = before.join(after, KEY)
     ratio = F.when(F.col("original_characters") > 0, 1.0 - F.col("compacted_characters") / F.col("original_characters")).otherwise(0.0)
     return out.select(
         KEY, "documents_input", "documents_with_evidence", "facts_input", "unique_facts",
