@@ -464,6 +464,20 @@ def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return (np.abs(a[:, None, :] - b[None, :, :]) ** p).sum(axis=2) ** (1.0 / p)
 
 
+def _closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``b`` of the k rows nearest to the vector ``a``, ties by id, and their distances."""
+    may = np.arange(len(b))
+    if p == 2 and len(b) > k:
+        # the expanded square leaves out what is farther by more than its rounding; the rest is compared by differences
+        squares = np.einsum("ij,ij->i", b, b)
+        rough, slack = squares - 2.0 * (b @ a), 1e-10 * (a @ a + squares.max())
+        if np.isfinite(slack):
+            may = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + 2.0 * slack)
+    d = _distances(a[None, :], b[may], p)[0]
+    order = np.lexsort((ids[may], d))[:k]
+    return may[order], d[order]
+
+
 class Neighbours:
     """Training rows (key, id, x array of doubles, value) in cells around their nearest pivot, ready for exact searches.
 
@@ -522,14 +536,12 @@ class Neighbours:
             tx = np.array([list(v) for v in ts.x], dtype=float)
             ids, values = ts["id"].to_numpy(), ts["value"].to_numpy()
             out = []
-            for lo in range(0, len(qs), 64):
-                some = qs.iloc[lo : lo + 64]
-                d = _distances(np.array([list(v) for v in some.x], dtype=float), tx, p)
-                limits = some["before"].to_numpy() if limited else None
-                for i, query in enumerate(some.query_id):
-                    may = np.flatnonzero(ids < limits[i]) if limited else np.arange(len(ids))
-                    order = may[np.lexsort((ids[may], d[i][may]))[:k]]
-                    out += [(keys[0], query, ids[j], d[i, j], values[j]) for j in order]
+            qx = np.array([list(v) for v in qs.x], dtype=float)
+            limits = qs["before"].to_numpy() if limited else None
+            for i, query in enumerate(qs.query_id):
+                may = np.flatnonzero(ids < limits[i]) if limited else slice(None)
+                place, d = _closest(qx[i], tx[may], ids[may], k, p)
+                out += [(keys[0], query, j, dist, v) for j, dist, v in zip(ids[may][place], d, values[may][place])]
             return pd.DataFrame(out, columns=columns)
 
         def visit(pairs: DataFrame) -> DataFrame:

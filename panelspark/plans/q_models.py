@@ -397,7 +397,7 @@ def knn_label_regression(spark, sf):
     e = table(spark, sf, "embeddings").select(F.lit("all").alias(KEY), "vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")
     train = e.filter(F.col("vec_id") % 10 != 0).select(KEY, F.col("vec_id").alias("id"), "x", F.col("label").alias("value"))
     queries = e.filter(F.col("vec_id") % 10 == 0).select(KEY, F.col("vec_id").alias("query_id"), "x")
-    found = L.nearest(train, queries, 5)
+    found = cut(L.nearest(train, queries, 5))  # read three times
     plain = L.knn_regression(found).withColumnRenamed("yhat", "uniform")
     inverse = L.knn_regression(found, "distance").withColumnRenamed("yhat", "weighted")
     far = found.groupBy(KEY, "query_id").agg(F.max("distance").alias("farthest"))
