@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -12,7 +13,7 @@ from ..functions import text as X
 from ..operators import candidates as C
 from ..operators import diagnostics as D
 from ..operators import split as J
-from ..operators.lineage import shared_folder, stored
+from ..operators.lineage import cut, shared_folder, stored
 from ..sources import results as W
 from ..sources import tables as R
 from .panels import DAILY, HOURLY, MONTHLY, POS, SPLIT, daily, hourly, monthly, table, with_sql
@@ -22,6 +23,8 @@ from .q_panel import FREQ, SPEC, rounded
 from .registry import query
 
 KEY = "series_id"
+#: Folders that one task writes.
+RUNS_PER_TASK = 256
 
 # ------------------------------------------------------------------ hyper-parameter rules
 
@@ -484,7 +487,9 @@ def run_summaries_written(spark, sf):
     )
     results = results.withColumn("run_id", F.concat(F.lit("..run "), _c("run_id").cast("string"), F.lit("/x?")))
     path = _fresh(spark, "runs")
-    W.write_runs(W.summary(results).repartition(8, "run_id"), path, "parquet")
+    results = cut(results)
+    # a folder per run: the tasks follow the number of runs
+    W.write_runs(W.summary(results).repartition(max(8, math.ceil(results.count() / RUNS_PER_TASK)), "run_id"), path, "parquet")
     back = spark.read.parquet(path)
     return rounded(back.select("run_id", "winning_model", "best_validation_mase", "valid_training_count", "stop_reason"), ["best_validation_mase"])
 
