@@ -6,13 +6,14 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import U64, Polynomial, integers, mix, part_count, runs, steps, texts, utf8
+from .blocks import U64, Polynomial, integers, mix, part_count, runs, six, steps, texts, unsix, utf8
 from .exchange import DEALT, bucket_of, by_bucket, dealt_batch, pack_keys, unpack_extra, unpack_keys
 
 #: Bytes of a repeated string, bytes of an anchor, different stretches from which those of an anchor are dealt window by window.
@@ -75,52 +76,68 @@ def column_transform(data: np.ndarray, start: np.ndarray, size: np.ndarray, fold
     prefixes are read from, and written to, files in sequence; a round holds one round's arrays.
     """
     n = len(start)
-    paths = [os.path.join(folder, name) for name in ("transform", "prefixes")]
     last = data[start + size - 1]
-    last.tofile(paths[0])
-    np.zeros(n, np.uint8).tofile(paths[1])
     row, string = np.arange(n), np.arange(n)
     done = 0  # symbols inserted of every live string
-    while len(string):
-        bwt, lcp = np.fromfile(paths[0], np.uint8), np.fromfile(paths[1], np.uint8)
-        order = np.argsort(bwt, kind="stable").astype(np.int32)
-        rank = np.empty(len(bwt), np.int32)
-        rank[order] = np.arange(len(bwt), dtype=np.int32)
-        k = rank[row].astype(np.int64)
-        symbol = bwt[row]
-        live = int(np.count_nonzero(bwt != END))
-        place = n + k
-        padded = np.append(lcp, np.uint8(END))
-        before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(bwt) - 1)]
-        up = np.flatnonzero((k > 0) & (bwt[before] == symbol))
-        down = np.flatnonzero((k + 1 < live) & (bwt[after] == symbol))
-        own = np.zeros(len(row), np.uint8)
-        own[up] = _smallest(padded, before[up].astype(np.int64) + 1, row[up] + 1)
-        below = _smallest(padded, row[down] + 1, after[down].astype(np.int64) + 1)
-        done += 1
-        left = size[string] - done  # symbols before the suffix that is now inserted
-        following = np.where(left > 0, data[start[string] + np.maximum(left, 1) - 1], END).astype(np.uint8)
-        fresh = np.zeros(n + live, bool)
-        fresh[place] = True
-        old = ~fresh
-        out = np.empty(n + live, np.uint8)
-        out[old] = bwt
-        out[place] = following
-        out.tofile(paths[0])
-        out[old] = lcp
-        out[place] = own
-        out[place[down] + 1] = below
-        out.tofile(paths[1])
-        go = left > 0
-        row, string = place[go], string[go]
-    return np.fromfile(paths[0], np.uint8), np.fromfile(paths[1], np.uint8)
+
+    def put(file: BinaryIO, values: np.ndarray) -> None:
+        file.seek(0)
+        values.tofile(file)
+
+    def held(file: BinaryIO) -> np.ndarray:
+        file.seek(0)
+        return np.fromfile(file, np.uint8)
+
+    # written over in place: they only grow, and a file that is emptied first is flushed to the disk each time
+    with open(os.path.join(folder, "transform"), "w+b") as transform, open(os.path.join(folder, "prefixes"), "w+b") as prefixes:
+        put(transform, last)
+        put(prefixes, np.zeros(n, np.uint8))
+        while len(string):
+            bwt, lcp = held(transform), held(prefixes)
+            order = np.argsort(bwt, kind="stable")
+            # ranks of the live strings, which go on in the order of these
+            here, number = np.zeros(len(bwt), bool), np.empty(len(bwt), np.int32)
+            here[row], number[row] = True, np.arange(len(row), dtype=np.int32)
+            k = np.flatnonzero(here[order])
+            row = order[k]
+            string = string[number[row]]
+            symbol = bwt[row]
+            live = int(np.count_nonzero(bwt != END))
+            place = n + k
+            padded = np.append(lcp, np.uint8(END))
+            before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(bwt) - 1)]
+            up = np.flatnonzero((k > 0) & (bwt[before] == symbol))
+            down = np.flatnonzero((k + 1 < live) & (bwt[after] == symbol))
+            own = np.zeros(len(row), np.uint8)
+            own[up] = _smallest(padded, before[up] + 1, row[up] + 1)
+            below = _smallest(padded, row[down] + 1, after[down] + 1)
+            done += 1
+            left = size[string] - done  # symbols before the suffix that is now inserted
+            following = np.where(left > 0, data[start[string] + np.maximum(left, 1) - 1], END).astype(np.uint8)
+            fresh = np.zeros(n + live, bool)
+            fresh[place] = True
+            old = ~fresh
+            out = np.empty(n + live, np.uint8)
+            out[old] = bwt
+            out[place] = following
+            put(transform, out)
+            out[old] = lcp
+            out[place] = own
+            out[place[down] + 1] = below
+            put(prefixes, out)
+            go = left > 0
+            row, string = place[go], string[go]
+        return held(transform), held(prefixes)
 
 
 def _smallest(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """1 + the smallest value of each range, at most END - 1."""
     if not len(low):
         return np.zeros(0, np.uint8)
-    least = np.minimum.reduceat(values, np.stack([low, high], axis=1).ravel())[::2]
+    # in ascending order: between two ranges, reduceat goes over all values from the end of one to the start of the next
+    order = np.argsort(low)
+    least = np.empty(len(low), values.dtype)
+    least[order] = np.minimum.reduceat(values, np.stack([low[order], high[order]], axis=1).ravel())[::2]
     return np.minimum(least, END - 2) + np.uint8(1)
 
 
@@ -216,8 +233,8 @@ def _anchors(plain: DataFrame, buckets: int) -> DataFrame:
 GONE, SENT, CROWDED = 1, 2, 3
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
-    """(doc, keys): what is to become of a document's stretches, as 46 bits of their name and 2 of their fate.
+def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(doc, keys): what is to become of a document's stretches, as 46 bits of their name and 2 of their fate; one row per document.
 
     A stretch that is the same in a smaller document is GONE as a whole.  Of the others, those whose
     anchor has different stretches in several documents are SENT to be compared, as single windows
@@ -245,15 +262,33 @@ def _shared(dealt: DataFrame) -> DataFrame:
         fate = np.where(doc > least, GONE, np.where(kinds > CROWD, CROWDED, np.where(kinds > 1, SENT, 0)))
         keep = several & (fate > 0)
         doc, out = doc[keep], (_name(key[keep], sign[keep]) << U64(2) | fate[keep].astype(U64)).astype("<u8")
+        if not len(doc):
+            return
+        # packed by the bucket of the document: a row for each document would be as many rows as documents times buckets
+        target = (mix(doc.astype(U64)) % U64(buckets)).astype(np.int64)
+        order = np.lexsort((doc, target))
+        doc, out, target = doc[order], out[order], target[order]
+        cuts, _ = runs(target)
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(doc)]):
+            first, _ = runs(doc[a:b])
+            rows.append((int(target[a]), 0, np.int32(len(first)).tobytes() + doc[a:b][first].astype("<i8").tobytes() + np.diff([*first, b - a]).astype("<i4").tobytes() + six(out[a:b])))
+        yield dealt_batch(rows)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies = []
+        for batch in batches:
+            bodies += batch.column(2).to_pylist()
+        doc, name, fate = unpack_keys(bodies)
         if not len(doc):
             return
         order = np.argsort(doc, kind="stable")
-        doc, out = doc[order], out[order]
-        cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        blobs = [out[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(doc)])]
+        doc, out = doc[order], (name << U64(2) | fate.astype(U64))[order]
+        cuts, _ = runs(doc)
+        blobs = [six(out[a:b]) for a, b in zip(cuts, [*cuts[1:], len(doc)])]
         yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(blobs, pa.binary())], names=["doc", "keys"])
 
-    return dealt.mapInArrow(find, "doc long, keys binary")
+    return by_bucket(dealt.mapInArrow(find, DEALT), buckets).mapInArrow(gather, "doc long, keys binary")
 
 
 def _dealt_spans(covered: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
@@ -305,8 +340,8 @@ def _pieces(marked: DataFrame, buckets: int) -> DataFrame:
             data, at = utf8(batch.column(1))
             ids, row = integers(batch, "doc_id"), integers(batch, "row")
             wanted, fates = [], []
-            for k, blobs in enumerate(batch.column(3).to_pylist()):
-                keys = np.unique(np.frombuffer(b"".join(blobs), "<u8"))
+            for k, blob in enumerate(batch.column(3).to_pylist()):
+                keys = np.unique(unsix(blob))
                 wanted.append(mix(keys >> U64(2)) + U64(k))
                 fates.append((keys & U64(3)).astype(np.int64))
             doc, first, last, key, _ = anchored(data, at)
@@ -476,7 +511,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, function, schema: str, rest
     kept = ["rest"] if rest is not None else []
     buckets = part_count(plain)
     known = plain.filter("doc_id is not null")
-    wanted = _shared(_anchors(known.select("doc_id", "text"), buckets)).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("keys").alias("keys"))
+    wanted = _shared(_anchors(known.select("doc_id", "text"), buckets), buckets).withColumnRenamed("doc", "doc_id")
     marked = known.join(wanted, "doc_id").withColumn("row", F.xxhash64("text"))
     spans = _spans(_pieces(marked, buckets)).groupBy(F.col("doc").alias("span_doc")).agg(F.collect_list(F.struct("row", "spans")).alias("found"))
     mine = F.filter("found", lambda s: s["row"] == F.xxhash64("text"))
