@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -356,7 +356,7 @@ def fold_of(doc_id, folds: int = FOLDS):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT) -> tuple[pd.DataFrame, float, float]:
+def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT) -> tuple[DataFrame, float, float]:
     """At most FIT_TOXIC and FIT_CLEAN labelled documents outside the held-out fold, and for how many labelled ones a clean and a toxic one stand."""
     marked = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{toxic}`").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     marked = marked.filter(fold_of(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -367,7 +367,24 @@ def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     # at most FIT_TOXIC + FIT_CLEAN ids
     rows = named.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    return rows.toPandas().sort_values("doc_id"), each_clean, each_toxic
+    return rows, each_clean, each_toxic
+
+
+def fitted(sample: DataFrame, clean: float, toxic: float) -> Network:
+    """``fit`` of the rows of ``fit_sample`` by doc_id, in one task; only the network's numbers come to the driver."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(rows, clean, toxic)))], pa.binary())], names=["network"])
+
+    # at most FIT_TOXIC + FIT_CLEAN rows
+    made = sample.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, "network binary").collect()
+    if not made:
+        return fit([])
+    network = Network.__new__(Network)
+    vars(network).update(pickle.loads(bytes(made[0]["network"])))
+    return network
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
@@ -385,7 +402,7 @@ def scored_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     words scores 0.5; an empty table gives no rows.
     """
     sample, each_clean, each_toxic = fit_sample(docs, labels, doc_id, text, toxic, folds, held)
-    network = fit(list(zip(sample["text"], sample["toxic"].astype(int))), each_clean, each_toxic)
+    network = fitted(sample, each_clean, each_toxic)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, limit=STEP):
