@@ -302,14 +302,8 @@ def log_coverage(trials: DataFrame) -> DataFrame:
     return s.withColumn("raw_pending", F.col("raw_trials") == 0).withColumn("log_pending", F.col("log_trials") == 0)
 
 
-def stop_eligibility(
-    trials: DataFrame, settings: DataFrame, *, maximum: int = 30, minimum: int = 5, max_refinements: int = 4
-) -> DataFrame:
-    """May a run stop, and if not, why.
-
-    ``trials`` are valid ones with uses_log and hyperparameters (text); ``settings``: run,
-    log_recommended, log_supported.
-    """
+def _best_by_groups(trials: DataFrame) -> DataFrame:
+    """Of every run its valid trainings, its best model and what was tried of it, for runs of any length."""
     # forms of a model, models of a run: groups of groups, so that trials meet their run's best model without a join
     raw, log = F.bool_or(~F.col("uses_log")).alias("_r"), F.bool_or("uses_log").alias("_l")
     first = F.min(F.struct("mase", "step")).alias("_k")
@@ -320,10 +314,43 @@ def stop_eligibility(
     best = models.groupBy(RUN).agg(
         F.sum("_c").alias("valid_trainings"), F.bool_or("_r").alias("any_raw"), F.min_by(F.struct("model", "_c", "_f", "_l", "_r"), "_k").alias("_b")
     )
-    best = best.select(
+    return best.select(
         RUN, "valid_trainings", "any_raw", F.col("_b.model").alias("best_model"), F.col("_b._c").alias("best_trials"),
         F.col("_b._f").alias("distinct_hyperparameters"), F.col("_b._l").alias("log_evaluated"), F.col("_b._r").alias("raw_evaluated"),
     )
+
+
+def _best_of_short(trials: DataFrame) -> DataFrame:
+    """``_best_by_groups`` in one shuffle: a run is sorted once, its best model stands first."""
+    own = F.col("model").eqNullSafe(F.col("best_model"))
+    rows = trials.select(RUN, "mase", "step", "model", "hyperparameters", "uses_log")
+    ordered = Window.partitionBy(RUN).orderBy("mase", "step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("best_model", F.first("model").over(ordered))
+    forms = rows.groupBy(RUN, "best_model", "hyperparameters").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(own.cast("bigint")).alias("_o"), F.bool_or(~F.col("uses_log")).alias("_a"),
+        F.bool_or(F.when(own, F.col("uses_log"))).alias("_l"), F.bool_or(F.when(own, ~F.col("uses_log"))).alias("_r"),
+    )
+    return forms.groupBy(RUN, "best_model").agg(
+        F.sum("_c").alias("valid_trainings"), F.bool_or("_a").alias("any_raw"), F.sum("_o").alias("best_trials"),
+        F.sum((F.col("_o") > 0).cast("bigint")).alias("distinct_hyperparameters"), F.bool_or("_l").alias("log_evaluated"), F.bool_or("_r").alias("raw_evaluated"),
+    )
+
+
+def stop_eligibility(
+    trials: DataFrame, settings: DataFrame, *, maximum: int = 30, minimum: int = 5, max_refinements: int = 4, counted: DataFrame | None = None, most: int = BLOCK_ROWS
+) -> DataFrame:
+    """May a run stop, and if not, why.
+
+    ``trials`` are valid ones with uses_log and hyperparameters (text); ``settings``: run,
+    log_recommended, log_supported.  ``counted``: a table with at least as many rows of each run,
+    cheap to count; with it, runs of up to ``most`` rows take one shuffle.
+    """
+    if counted is None:
+        best = _best_by_groups(trials)
+    else:
+        short, long = by_size(trials, RUN, most, counted)
+        best = _best_of_short(short)
+        best = best if long is None else best.unionByName(_best_by_groups(long))
     s = settings.join(best, RUN, "left").fillna(
         {"valid_trainings": 0, "best_trials": 0, "distinct_hyperparameters": 0, "log_evaluated": False, "raw_evaluated": False, "any_raw": False}
     )

@@ -47,15 +47,17 @@ def _slice(df: DataFrame, order: str, width: float | None) -> Column:
     return F.floor(F.col(order) / F.lit(float(width or SLICE_STEPS)))
 
 
-def by_size(df: DataFrame, key: str | Sequence[str], most: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame | None]:
+def by_size(df: DataFrame, key: str | Sequence[str], most: int = BLOCK_ROWS, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of keys with at most ``most`` rows, rows of the longer keys or None where there are none).
 
     Rows with a null key are left out, as by the joins of the functions below.  Of N rows at most
     N / most keys are long, so their list is broadcast and the rows aren't shuffled for it.
+    ``counted``: a table with at least as many rows of each key that is cheaper to count.
     """
     keys = _keys(key)
-    known = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    long = cut(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > most).drop("_c"))
+    some = lambda rows: rows.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    known = some(df)
+    long = cut(some(df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > most).drop("_c"))
     if long.isEmpty():
         return known, None
     return known.join(F.broadcast(long), keys, "left_anti"), known.join(F.broadcast(long), keys, "left_semi")

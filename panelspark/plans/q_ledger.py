@@ -476,7 +476,8 @@ y AS (SELECT *, v >= 30 AS hard, v >= 5 AS enough, bm IS NOT NULL AND NOT ar AS
       CASE WHEN bm IS NULL THEN 0 ELSE ((bt >= 4 OR dh >= 2)::INT + CASE WHEN wl THEN (re::INT + le::INT) / 2e0 ELSE 1 END) / 2e0 END AS refinement_completeness FROM y"""),
 )
 def stop_eligibility(spark, sf):
-    return L.stop_eligibility(by_order(L.valid(trials(spark, sf))), _settings(spark, sf, "l_orderkey"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias(RUN))
+    return L.stop_eligibility(by_order(L.valid(trials(spark, sf))), _settings(spark, sf, "l_orderkey"), counted=lines)
 
 
 ARB = """a AS (SELECT l_partkey AS run_id, count(*) AS c, round(avg((l_linenumber > 3)::INT), 1) AS explore, round(avg((l_returnflag = 'A')::INT), 1) AS refine, round(avg((l_linestatus = 'F')::INT), 1) AS stop FROM lineitem GROUP BY 1),

@@ -46,6 +46,16 @@ def test_a_ledger_isnt_copied_per_salt_to_see_whether_a_run_may_stop(spark):
     assert found[4] == (0, None, 0, 0, "minimum_valid_trainings_not_reached")
 
 
+def test_short_runs_are_judged_in_one_shuffle_as_long_ones_are_by_groups(spark):
+    rows = ledger(spark).filter("step is not null").unionByName(ledger(spark).filter("run_id = 2").selectExpr("run_id", "step + 10 AS step", "mase", "'Naive' AS model", "cast(null AS string) AS hyperparameters", "cast(null AS boolean) AS uses_log"))
+    settings = spark.createDataFrame([(1, True, True), (2, True, True), (3, False, True), (4, True, True)], "run_id long, log_recommended boolean, log_supported boolean")
+    judged = lambda **more: L.stop_eligibility(rows, settings, **more)
+    groups, short, mixed = (sorted(map(tuple, judged(**more).collect()), key=str) for more in ({}, {"counted": rows}, {"counted": rows, "most": 4}))
+    assert groups == short == mixed and len(groups) == 4
+    plan, count = shuffles(judged(counted=rows))
+    assert "SortAggregate" not in plan and count < shuffles(judged())[1]
+
+
 def test_tail_of_a_run(spark):
     rows = spark.createDataFrame([(1, i, m) for i, m in enumerate("ABABBB")] + [(2, 0, "A"), (2, 1, "A"), (3, 0, "A"), (3, 1, "B")], "run_id long, step long, model string")
     assert {tuple(r) for r in L.tail_refinements(rows).collect()} == {(1, "B", 3), (2, "A", 1), (3, "B", 0)}
