@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import sys
 import types
@@ -38,6 +39,19 @@ def remembered(key: str, make: Callable):
     return held[key]
 
 
+def tidied(function: Callable) -> Callable:
+    """``function`` for mapInArrow; after each task its worker, which waits for others, gives back the memory that is free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column without nulls, and where each value starts and ends."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -94,13 +108,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of BASE and of INVERSE; a worker keeps the most that it ever needed, as shorter ones are their start."""
+    held = remembered("powers", dict)
+    if len(held.get("up", ())) < n:
+        size = max(1 << (n - 1).bit_length(), 1 << 16)
+        held.clear()
+        held["up"], held["down"] = powers(BASE, size), powers(INVERSE, size)
+    return held["up"], held["down"]
+
+
 class Polynomial:
     """Hashes of any byte ranges of a block, from one running sum modulo 2^64."""
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
-        size = max(1 << (n - 1).bit_length(), 1 << 16)
-        up, self.down = remembered(f"powers {size}", lambda: (powers(BASE, size), powers(INVERSE, size)))
+        up, self.down = _powers(n)
         self.sums = np.zeros(n, U64)
         np.cumsum(BYTE[data] * up[: n - 1], out=self.sums[1:])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import U64, integers, mix, part_count, runs, steps, texts, utf8, word_hashes
+from .blocks import U64, integers, mix, part_count, runs, steps, texts, tidied, utf8, word_hashes
 from .components import components
 from .exchange import DEALT, UNIT_KEYS, by_bucket, dealt_batch, pack_keys, unpack_keys
 from .storage import written
@@ -210,7 +210,7 @@ def _deal(plain: DataFrame, buckets: int) -> DataFrame:
         if ids or follow:
             yield flush()
 
-    return by_bucket(plain.mapInArrow(deal, DEALT), buckets)
+    return by_bucket(plain.mapInArrow(tidied(deal), DEALT), buckets)
 
 
 FOUND = "kind int, doc long, n int, ref long, own int, low int, every int, list long, role int, members int, weight int"
@@ -269,7 +269,7 @@ def _lists(dealt: DataFrame) -> DataFrame:
             part, group = keep[low : low + 500_000], at[low : low + 500_000]
             yield _found(len(part), kind=KEYS, doc=doc[part], list=name[group], role=role[part], members=size[chosen][group], weight=weight[group])
 
-    return dealt.mapInArrow(gather, FOUND)
+    return dealt.mapInArrow(tidied(gather), FOUND)
 
 
 def _found(rows: int, **columns) -> pa.RecordBatch:
@@ -297,7 +297,7 @@ def _sets(plain: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["doc", "tokens"])
 
     named = members.select(F.col("doc").alias("doc_id")).distinct()
-    return written(plain.join(named, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(build, "doc long, tokens binary"), "none")
+    return written(plain.join(named, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidied(build), "doc long, tokens binary"), "none")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
     right = left.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    return written(right.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+    return written(right.select("a", "b", "x", "y").mapInArrow(tidied(check), "a long, b long").distinct())
 
 
 def _allocated(found: DataFrame) -> DataFrame:
@@ -457,5 +457,5 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             n = np.bincount(doc, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64())], names=["doc_id", "n_shingles", "component_id"])
 
-    nameless = plain.filter("doc_id is null").mapInArrow(count, "doc_id long, n_shingles long, component_id long")
+    nameless = plain.filter("doc_id is null").mapInArrow(tidied(count), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import steps, texts
+from .blocks import steps, texts, tidied
 from .encode import STEP, Encoder
 
 CAPACITY = 2048
@@ -42,7 +42,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32())] + [pa.array(c, pa.int64()) for c in columns[2:]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs).mapInArrow(pieces, PIECES)
+    return texts(docs).mapInArrow(tidied(pieces), PIECES)
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import U64, Polynomial, integers, mix, part_count, runs, six, steps, texts, unsix, utf8
+from .blocks import U64, Polynomial, integers, mix, part_count, runs, six, steps, texts, tidied, unsix, utf8
 from .exchange import DEALT, bucket_of, by_bucket, dealt_batch, pack_keys, unpack_extra, unpack_keys
 
 #: Bytes of a repeated string, bytes of an anchor, different stretches from which those of an anchor are dealt window by window.
@@ -227,7 +227,7 @@ def _anchors(plain: DataFrame, buckets: int) -> DataFrame:
         if keys:
             yield flush()
 
-    return by_bucket(plain.mapInArrow(deal, DEALT), buckets)
+    return by_bucket(plain.mapInArrow(tidied(deal), DEALT), buckets)
 
 
 GONE, SENT, CROWDED = 1, 2, 3
@@ -288,7 +288,7 @@ def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
         blobs = [six(out[a:b]) for a, b in zip(cuts, [*cuts[1:], len(doc)])]
         yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(blobs, pa.binary())], names=["doc", "keys"])
 
-    return by_bucket(dealt.mapInArrow(find, DEALT), buckets).mapInArrow(gather, "doc long, keys binary")
+    return by_bucket(dealt.mapInArrow(tidied(find), DEALT), buckets).mapInArrow(tidied(gather), "doc long, keys binary")
 
 
 def _dealt_spans(covered: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
@@ -374,7 +374,7 @@ def _pieces(marked: DataFrame, buckets: int) -> DataFrame:
                 held, settled, gathered = [], [], 0
         yield from flush()
 
-    return by_bucket(marked.select("doc_id", "text", "row", "keys").mapInArrow(deal, DEALT), buckets)
+    return by_bucket(marked.mapInArrow(tidied(deal), DEALT), buckets)
 
 
 def _spans(pieces: DataFrame) -> DataFrame:
@@ -446,7 +446,7 @@ def _spans(pieces: DataFrame) -> DataFrame:
         blobs = [pairs[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(rows)])]
         yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][cuts]), pa.array(rows["row"][cuts]), pa.array(blobs, pa.binary())], names=["doc", "row", "spans"])
 
-    return pieces.mapInArrow(judge, "doc long, row long, spans binary")
+    return pieces.mapInArrow(tidied(judge), "doc long, row long, spans binary")
 
 
 def _first_anchor(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -512,13 +512,14 @@ def _judged(docs: DataFrame, doc_id: str, text: str, function, schema: str, rest
     buckets = part_count(plain)
     known = plain.filter("doc_id is not null")
     wanted = _shared(_anchors(known.select("doc_id", "text"), buckets), buckets).withColumnRenamed("doc", "doc_id")
-    marked = known.join(wanted, "doc_id").withColumn("row", F.xxhash64("text"))
+    # what else goes along isn't left out: the join below shares this one's exchange of the texts only if both have the same columns
+    marked = known.join(wanted, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("row"), "keys", *kept)
     spans = _spans(_pieces(marked, buckets)).groupBy(F.col("doc").alias("span_doc")).agg(F.collect_list(F.struct("row", "spans")).alias("found"))
     mine = F.filter("found", lambda s: s["row"] == F.xxhash64("text"))
     judged = known.join(spans, known["doc_id"] == spans["span_doc"], "left").select("doc_id", "text", F.transform(mine, lambda s: s["spans"]).alias("spans"), *kept)
     nameless = plain.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"), *kept)
     # a union below the function would keep both joins from sharing one exchange of the texts
-    return judged.mapInArrow(function, schema).unionByName(nameless.mapInArrow(function, schema))
+    return judged.mapInArrow(tidied(function), schema).unionByName(nameless.mapInArrow(tidied(function), schema))
 
 
 def _cut_out(text: bytes, blobs: list[bytes] | None) -> tuple[bytes, int, int]:

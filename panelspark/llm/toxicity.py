@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, U64, Polynomial, steps, texts, utf8
+from .blocks import LOWER, U64, Polynomial, steps, texts, tidied, utf8
 
 #: Most labelled documents of each class that a fit takes, by the order of a hash of doc_id.
 FIT_TOXIC, FIT_CLEAN = 2500, 3500
@@ -379,7 +379,7 @@ def fitted(sample: DataFrame, clean: float, toxic: float) -> Network:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(rows, clean, toxic)))], pa.binary())], names=["network"])
 
     # at most FIT_TOXIC + FIT_CLEAN rows
-    made = sample.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, "network binary").collect()
+    made = sample.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id").mapInArrow(tidied(learn), "network binary").collect()
     if not made:
         return fit([])
     network = Network.__new__(Network)
@@ -411,4 +411,4 @@ def scored_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "row_hash", "held_out", "score", "predicted"])
 
     plain = texts(docs, doc_id, text).withColumn("held_out", fold_of(F.col("doc_id"), folds) == held).withColumn("row_hash", F.xxhash64("text"))
-    return plain.mapInArrow(score, "doc_id long, row_hash long, held_out boolean, score double, predicted int")
+    return plain.mapInArrow(tidied(score), "doc_id long, row_hash long, held_out boolean, score double, predicted int")

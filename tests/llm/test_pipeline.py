@@ -38,6 +38,19 @@ def test_stages(spark, folder):
     assert kept["toxicity"](spark, docs, folder).count() == docs.count()
 
 
+def test_texts_are_dealt_once_where_more_columns_go_along(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "-1")):
+            spark.conf.set(k, v)
+        plan = corpus_pipeline.cut_repeats(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange" in plan
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
