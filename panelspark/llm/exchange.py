@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,13 +20,13 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U64(44)) % U64(buckets)).astype(np.int64)
 
 
-def pack_keys(docs: np.ndarray, slot: np.ndarray, keys: np.ndarray, flags: np.ndarray, buckets: int, kind: int, extra: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
-    """Rows (bucket, kind, body) of keys: 46 bits of each key and 2 flags, grouped by document; ``slot`` points into ``docs``; 48 bits of ``extra`` go along."""
+def pack_keys(docs: np.ndarray, slot: np.ndarray, keys: np.ndarray, flags: np.ndarray, buckets: int, kind: int, extras: Sequence[np.ndarray] = ()) -> list[tuple[int, int, bytes]]:
+    """Rows (bucket, kind, body) of keys: 46 bits of each key and 2 flags, grouped by document; ``slot`` points into ``docs``; 48 bits of each of ``extras`` go along."""
     bucket = bucket_of(keys, buckets)
     kept = ((keys & U64((1 << 46) - 1)) << U64(2)) | flags.astype(U64)
     order = np.argsort(bucket * len(docs) + slot, kind="stable")
     bucket, slot, kept = bucket[order], slot[order], kept[order]
-    extra = extra[order] if extra is not None else None
+    extras = [extra[order] for extra in extras]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     rows = []
     for low, high in zip([0, *cuts], [*cuts, len(bucket)]):
@@ -33,17 +35,18 @@ def pack_keys(docs: np.ndarray, slot: np.ndarray, keys: np.ndarray, flags: np.nd
         new = np.concatenate(([0], np.flatnonzero(np.diff(slot[low:high])) + 1))
         ids = docs[slot[low:high][new]]
         body = np.int32(len(new)).tobytes() + ids.astype("<i8").tobytes() + np.diff([*new, high - low]).astype("<i4").tobytes() + six(kept[low:high])
-        rows.append((int(bucket[low]), kind, body + (six(extra[low:high]) if extra is not None else b"")))
+        rows.append((int(bucket[low]), kind, b"".join([body, *(six(extra[low:high]) for extra in extras)])))
     return rows
 
 
-def unpack_extra(bodies: list[bytes]) -> np.ndarray:
-    """The 48 bits that go along with every entry."""
+def unpack_extra(bodies: list[bytes], which: int = 0) -> np.ndarray:
+    """The 48 bits of one of the extras that go along with every entry."""
     parts = [np.zeros(0, U64)]
     for body in bodies:
         n = int(np.frombuffer(body, "<i4", 1)[0])
         total = int(np.frombuffer(body, "<i4", n, 4 + 8 * n).sum())
-        parts.append(unsix(body[4 + 12 * n + 6 * total :]))
+        low = 4 + 12 * n + 6 * total * (which + 1)
+        parts.append(unsix(body[low : low + 6 * total]))
     return np.concatenate(parts)
 
 
