@@ -6,21 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from ..operators.lineage import shared_folder
-
-
-#: Takes shuffle files away as soon as their query has ended, not when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..operators.lineage import shared_folder, without_leftovers
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the cluster's checkpoint folder; the shuffle files that made it are gone afterwards."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with without_leftovers(spark):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.parquet(path)

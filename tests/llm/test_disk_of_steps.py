@@ -55,4 +55,4 @@ def test_written_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not held() - before
     assert out.count() == 5000
-    assert spark.conf.get(storage.CLEANUP, "false") == "false"
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
