@@ -546,18 +546,20 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _judged(docs: DataFrame, doc_id: str, text: str, function, schema: str, rest: Column | None = None) -> DataFrame:
     """``function`` over documents with the spans to remove (binary pairs from all buckets, null: none) and ``rest``, whatever else of a row goes along.
 
-    In three steps, each written, so that anchors, strings and texts don't lie on the disks together.
+    What becomes of the stretches is written, so that anchors don't lie on the disks together with strings and texts.
     """
     plain = texts(docs, doc_id, text) if rest is None else docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     kept = ["rest"] if rest is not None else []
     buckets = part_count(plain)
     known = plain.filter("doc_id is not null")
     wanted = written(_shared(_anchors(known.select("doc_id", "text"), buckets), buckets)).withColumnRenamed("doc", "doc_id")
-    marked = known.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("row"), "keys")
-    spans = written(_spans(_pieces(marked, buckets))).groupBy(F.col("doc").alias("span_doc")).agg(F.collect_list(F.struct("row", "spans")).alias("found"))
+    # what else goes along isn't left out: the join below shares this one's exchange of the texts only if both have the same columns
+    marked = known.join(wanted, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("row"), "keys", *kept)
+    spans = _spans(_pieces(marked, buckets)).groupBy(F.col("doc").alias("span_doc")).agg(F.collect_list(F.struct("row", "spans")).alias("found"))
     mine = F.filter("found", lambda s: s["row"] == F.xxhash64("text"))
     judged = known.join(spans, known["doc_id"] == spans["span_doc"], "left").select("doc_id", "text", F.transform(mine, lambda s: s["spans"]).alias("spans"), *kept)
     nameless = plain.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"), *kept)
+    # a union below the function would keep both joins from sharing one exchange of the texts
     return judged.mapInArrow(tidied(function), schema).unionByName(nameless.mapInArrow(tidied(function), schema))
 
 
